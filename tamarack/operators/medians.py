@@ -22,7 +22,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count("*").alias("_n"))
         .withColumn("_cell", F.floor(F.signum(F.col(value).cast("double")) * magnitude))
     )
     upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)

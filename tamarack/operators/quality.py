@@ -19,7 +19,7 @@ class PrimaryKey:
     column: str
 
     def violations(self) -> DataFrame:
-        groups = self.table.groupBy(self.column).agg(F.count(F.lit(1)).alias("n"))
+        groups = self.table.groupBy(self.column).agg(F.count("*").alias("n"))
         surplus = F.when(F.col(self.column).isNull(), F.col("n")).otherwise(F.col("n") - 1)
         return groups.agg(F.coalesce(F.sum(surplus), F.lit(0)).alias("violations"))
 
@@ -38,7 +38,7 @@ class ForeignKey:
         # counted per value before the join: a hot value crosses as one row
         values = self.table.filter(F.col(self.column).isNotNull()).groupBy(self.column)
         keys = self.parent.select(F.col(self.parent_column).alias(self.column))
-        orphans = values.agg(F.count(F.lit(1)).alias("n")).join(keys, self.column, "left_anti")
+        orphans = values.agg(F.count("*").alias("n")).join(keys, self.column, "left_anti")
         return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
 
 
@@ -60,7 +60,7 @@ def not_null(name: str, table: DataFrame, column: str) -> Check:
 
 def _checks_in_one_scan(checks: Sequence[Check]) -> DataFrame:
     counts = checks[0].table.agg(*[F.count_if(~F.expr(c.condition)).alias(c.name) for c in checks])
-    return counts.unpivot([], [c.name for c in checks], "rule", "violations")
+    return counts.unpivot([], [f"`{c.name}`" for c in checks], "rule", "violations")
 
 
 def audit(rules: Sequence[PrimaryKey | ForeignKey | Check]) -> DataFrame:

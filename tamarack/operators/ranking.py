@@ -67,7 +67,7 @@ def rank_global(df: DataFrame, column: str, name: str, buckets: int = RANK_BUCKE
     not); a value's rank is one more than the rows in higher ranges and the rows
     of higher values in its own range.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
     fractions = F.array(*[F.lit((i + 1) / (buckets + 1)) for i in range(buckets)])
     cuts = counts.agg(F.percentile_approx(F.col(column).cast("double"), fractions, F.lit(10 * buckets))).scalar()
     value = F.col(column).cast("double")
@@ -124,7 +124,7 @@ def page(
     stored = ordered.checkpoint()
     part = F.spark_partition_id()
     # one row per partition of the sorted copy
-    sizes = {r["part"]: r["n"] for r in stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["part"]: r["n"] for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     start, skip, wanted = 0, 0, []
     for p in sorted(sizes):
         if start < first + size and start + sizes[p] > first:
@@ -151,4 +151,4 @@ def table_view(
     found = equals_all(text_search(df, search_columns, search), filters or {})
     keys = [*([user_sort(df, *sort)] if sort else []), (unique, "asc")]
     shown = order(found, keys) if size is None else page(found, keys, number, size)
-    return shown.withColumn("rows_found", found.agg(F.count(F.lit(1))).scalar())
+    return shown.withColumn("rows_found", found.agg(F.count("*")).scalar())

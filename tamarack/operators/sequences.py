@@ -32,7 +32,7 @@ def number_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """``rn`` and ``group_rows`` per key, for groups that fit one task's sort."""
     group = Window.partitionBy(key)
     return df.withColumns(
-        {"rn": F.row_number().over(group.orderBy(*order)), "group_rows": F.count(F.lit(1)).over(group)}
+        {"rn": F.row_number().over(group.orderBy(*order)), "group_rows": F.count("*").over(group)}
     ).withColumn("rn", F.col("rn").cast("bigint"))
 
 
@@ -46,7 +46,7 @@ def number_hot_rows(df: DataFrame, key: str, ts: str, order: Sequence[str]) -> D
     calendar = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         hourly.groupBy(key, "_hour")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count("*").alias("_n"))
         .select(
             key,
             "_hour",
@@ -71,7 +71,7 @@ def sequence(df: DataFrame, key: str, ts: str, tie: str, hot_rows: int = HOT_ROW
     adaptive execution drops both joins and the whole hot branch.
     """
     hot_keys = F.broadcast(
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key)
+        df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
     )
     order = [ts, tie]
     usual = number_rows(df.join(hot_keys, key, "left_anti"), key, order)

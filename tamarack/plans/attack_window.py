@@ -17,7 +17,7 @@ DIMENSIONS = ("time_window", "day_type", "device_type", "txn_geography", "auth_s
 
 def attack_windows(transactions: DataFrame, min_txns: int = fv.WINDOW_MIN_TXNS) -> DataFrame:
     """Fraud rate and loss per combination with at least ``min_txns`` transactions."""
-    c, n = F.col, F.count(F.lit(1))
+    c, n = F.col, F.count("*")
     grouped = transactions.groupBy(
         time_window(c("hour_of_day")).alias("time_window"),
         label_flag(c("is_weekend"), fv.WEEKEND, fv.WEEKDAY).alias("day_type"),

@@ -19,7 +19,7 @@ def segment_fraud(transactions: DataFrame, account_profiles: DataFrame) -> DataF
     weighted by transactions, as if every transaction carried them.
     """
     per_account = transactions.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("rows"),
+        F.count("*").alias("rows"),
         F.count("transaction_id").alias("txns"),
         F.count_if("is_fraud").alias("frauds"),
         sum_if(F.col("is_fraud"), F.col("amount")).alias("loss"),
@@ -35,7 +35,7 @@ def segment_fraud(transactions: DataFrame, account_profiles: DataFrame) -> DataF
         .join(per_account, "account_id")
         .groupBy("account_type")
         .agg(
-            F.count(F.lit(1)).alias("total_accounts"),
+            F.count("*").alias("total_accounts"),
             F.sum("txns").alias("total_txns"),
             F.sum("frauds").alias("fraud_txns"),
             F.sum("loss").cast("double").alias("fraud_loss"),

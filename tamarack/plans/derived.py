@@ -14,7 +14,7 @@ from tamarack.operators.totals import share_of_total
 def account_totals(transactions: DataFrame) -> DataFrame:
     """Counts and exact sums per account, one row each."""
     return transactions.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("*").alias("n"),
         F.sum("amount").alias("amt"),
         F.max("amount").alias("mx"),
         F.count_if("is_fraud").alias("nf"),
@@ -52,9 +52,9 @@ def pattern_stats(transactions: DataFrame) -> DataFrame:
     fraud = transactions.filter("is_fraud AND fraud_pattern IS NOT NULL")
     night = F.col("hour_of_day").between(*fv.NIGHT_HOURS)
     rows = fraud.groupBy("fraud_pattern").agg(
-        F.count(F.lit(1)).alias("transaction_count"),
+        F.count("*").alias("transaction_count"),
         round_exact(mean(F.col("amount")), 2).alias("avg_amount"),
-        round_exact(ratio_pct(F.count_if(night), F.count(F.lit(1))), 2).alias("pct_night_0_5"),
+        round_exact(ratio_pct(F.count_if(night), F.count("*")), 2).alias("pct_night_0_5"),
         round_exact(pct_true(F.col("is_foreign_txn")), 2).alias("pct_foreign"),
         round_exact(pct_true(~F.col("card_present")), 2).alias("pct_card_not_present"),
         round_exact(mean(F.col("velocity_1h")), 4).alias("avg_velocity_1h"),
@@ -94,7 +94,7 @@ def hourly_rollup(transactions: DataFrame) -> DataFrame:
     return (
         transactions.groupBy(hour.alias("hour"))
         .agg(
-            F.count(F.lit(1)).alias("transaction_count"),
+            F.count("*").alias("transaction_count"),
             F.count_if("is_fraud").alias("fraud_count"),
             F.sum("amount").cast("double").alias("total_amount"),
             round_exact(mean(F.col("amount")), 2).alias("avg_amount"),

@@ -82,8 +82,8 @@ def judge_matches(matches: DataFrame, repeat: int = fv.REPEAT_TIMES) -> DataFram
     """Count how often each pair recurs, and say whether that is a signal."""
     times = F.col("times_flagged_as_predecessor")
     repetitions = matches.groupBy("pattern_a", "pattern_b").agg(
-        F.count(F.lit(1)).alias("times_flagged_as_predecessor"),
-        F.expr("listagg(CAST(year_b AS STRING), ', ') WITHIN GROUP (ORDER BY CAST(year_b AS STRING))").alias(
+        F.count("*").alias("times_flagged_as_predecessor"),
+        F.expr("listagg(CAST(year_b AS STRING), ', ') WITHIN GROUP (ORDER BY year_b)").alias(
             "years_flagged"
         ),
     )

@@ -20,7 +20,7 @@ def resource_efficiency(transactions: DataFrame, fraud_patterns: DataFrame, gap:
     summed = (
         transactions.filter("is_fraud AND fraud_pattern IS NOT NULL")
         .groupBy("fraud_pattern")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("loss"), F.count("amount").alias("priced"))
+        .agg(F.count("*").alias("n"), F.sum("amount").alias("loss"), F.count("amount").alias("priced"))
     )
     known = fraud_patterns.select(
         "fraud_pattern",

@@ -31,7 +31,7 @@ def _sum_money(column: str) -> Column:
 
 def _mean_shown(column: str) -> Column:
     """Mean of displayed values, missing ones as zero."""
-    return safe_div(F.sum(zero_if_null(F.col(column)).cast(RATIO)), F.count(F.lit(1)))
+    return safe_div(F.sum(zero_if_null(F.col(column)).cast(RATIO)), F.count("*"))
 
 
 def _is_flagged(verdict: str) -> Column:
@@ -48,7 +48,7 @@ def portfolio_kpis(
     )
     rings = contagion.agg(
         F.struct(
-            F.count(F.lit(1)).alias("ring_count"),
+            F.count("*").alias("ring_count"),
             zero_if_null(round_exact(_mean_shown("avg_days_to_spread"), 1)).alias("avg_days_to_spread"),
         )
     ).scalar()
@@ -105,7 +105,7 @@ def metric_names(evolution: DataFrame) -> DataFrame:
 
 def verdict_distribution(result: DataFrame, verdict: str) -> DataFrame:
     """Rows, share and tier per verdict."""
-    counts = result.groupBy(F.col(verdict).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    counts = result.groupBy(F.col(verdict).alias("verdict")).agg(F.count("*").alias("n"))
     return share_of_total(counts, "n", "pct", 1).withColumn("tier", verdict_tier(F.col("verdict")))
 
 
@@ -114,7 +114,7 @@ def precision_kpis(identity: DataFrame) -> DataFrame:
 
     Unscored young accounts count as flagged, their verdict not being a good one.
     """
-    n, flagged = F.count(F.lit(1)), F.count_if(_is_flagged("synthetic_id_verdict"))
+    n, flagged = F.count("*"), F.count_if(_is_flagged("synthetic_id_verdict"))
     caught = F.count_if(_is_flagged("synthetic_id_verdict") & (F.col("is_fraudster") == 1))
     return identity.agg(
         n.alias("accounts"),
@@ -153,7 +153,7 @@ def score_histogram(
 
 
 def mule_kpis(mules: DataFrame) -> DataFrame:
-    n, flagged = F.count(F.lit(1)), F.count_if(_is_flagged("aml_verdict"))
+    n, flagged = F.count("*"), F.count_if(_is_flagged("aml_verdict"))
     return mules.agg(
         n.alias("accounts"),
         flagged.alias("flagged"),
@@ -171,7 +171,7 @@ def mule_by_type(mules: DataFrame) -> DataFrame:
 
 def ring_kpis(contagion: DataFrame) -> DataFrame:
     return contagion.agg(
-        F.count(F.lit(1)).alias("rings"),
+        F.count("*").alias("rings"),
         round_exact(_mean_shown("connected_accounts"), 1).alias("avg_ring_size"),
         round_exact(_mean_shown("avg_days_to_spread"), 1).alias("avg_days_to_spread"),
         F.count_if(F.col("response_priority").contains("CRITICAL")).alias("critical_rings"),
@@ -191,7 +191,7 @@ def ring_points(contagion: DataFrame) -> DataFrame:
 
 def lag_kpis(lag: DataFrame) -> DataFrame:
     sums = lag.agg(
-        F.count(F.lit(1)).alias("rings"),
+        F.count("*").alias("rings"),
         _sum_money("preventable_loss_usd").alias("preventable"),
         _sum_money("loss_within_5day_response_window").alias("within_window"),
         _sum_money("loss_after_response_window_missed").alias("after_window"),
@@ -214,7 +214,7 @@ def top_rings(lag: DataFrame, k: int = fv.TOP_RINGS) -> DataFrame:
 
 def drift_kpis(drifts: DataFrame) -> DataFrame:
     return drifts.agg(
-        F.count(F.lit(1)).alias("accounts"),
+        F.count("*").alias("accounts"),
         round_exact(_mean_shown("drift_signals_positive"), 2).alias("avg_signals"),
         F.count_if(F.col("drift_signals_positive") == 4).alias("all_four_positive"),
         round_exact(_mean_shown("ip_drift"), 1).alias("avg_ip_drift"),

@@ -36,7 +36,7 @@ def contagion_speed(members: DataFrame, cuts: Sequence[tuple[float, str]] = fv.R
         F.max(F.when(F.col("rn") == 2, F.col("first_fraud_date"))).alias("next_date"),
     )
     size = members.groupBy("ring_id").agg(
-        (F.count(F.lit(1)) - 1).alias("connected_accounts"),
+        (F.count("*") - 1).alias("connected_accounts"),
         F.max("first_fraud_date").alias("last_date"),
         # exact, and wide enough for any number of members
         F.sum(micros(F.col("first_fraud_date")).cast("decimal(20,0)")).alias("sum_micros"),

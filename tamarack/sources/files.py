@@ -63,15 +63,14 @@ def load_transactions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    """A result as parquet, or as CSV with a header and quoted text.
+    """A result as parquet, or as CSV with a header and quoted fields.
 
     Each task writes its own part file; ``partition_by`` lays large tables out
     by column so that later reads can skip folders.
     """
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     if fmt == "csv":
-        # only text is quoted when everything but numbers is cast to text first
-        writer.option("header", True).option("escape", '"').option("quote", '"').csv(path)
+        writer.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
 

@@ -8,49 +8,101 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+TEXT, FLAG, INT, SMALL, TIME = T.StringType(), T.BooleanType(), T.IntegerType(), T.ShortType(), T.TimestampNTZType()
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+
+def dec(precision: int, scale: int) -> T.DecimalType:
+    return T.DecimalType(precision, scale)
+
+
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
 ACCOUNT_PROFILES = _schema(
-    """account_id string, account_age_days int, credit_limit decimal(12,2), home_country string,
-    risk_score decimal(6,2), is_high_risk decimal(3,1), avg_txn_amount decimal(12,2),
-    avg_monthly_txns decimal(10,2), has_2fa decimal(3,1), account_type string,
-    total_transactions decimal(12,2), total_amount decimal(14,2), avg_amount decimal(12,2),
-    max_amount decimal(12,2), fraud_count decimal(10,2), fraud_amount decimal(14,2),
-    pct_foreign decimal(6,4), avg_velocity decimal(8,4), unique_countries decimal(6,2),
-    unique_categories decimal(6,2), avg_ip_risk decimal(6,2), fraud_rate decimal(8,6),
-    is_fraudster decimal(3,1)"""
+    account_id=TEXT,
+    account_age_days=INT,
+    credit_limit=dec(12, 2),
+    home_country=TEXT,
+    risk_score=dec(6, 2),
+    is_high_risk=dec(3, 1),
+    avg_txn_amount=dec(12, 2),
+    avg_monthly_txns=dec(10, 2),
+    has_2fa=dec(3, 1),
+    account_type=TEXT,
+    total_transactions=dec(12, 2),
+    total_amount=dec(14, 2),
+    avg_amount=dec(12, 2),
+    max_amount=dec(12, 2),
+    fraud_count=dec(10, 2),
+    fraud_amount=dec(14, 2),
+    pct_foreign=dec(6, 4),
+    avg_velocity=dec(8, 4),
+    unique_countries=dec(6, 2),
+    unique_categories=dec(6, 2),
+    avg_ip_risk=dec(6, 2),
+    fraud_rate=dec(8, 6),
+    is_fraudster=dec(3, 1),
 )
 ACCOUNT_FLAGS = ("is_high_risk", "has_2fa", "is_fraudster")
 
 FRAUD_PATTERNS = _schema(
-    """fraud_pattern string, description string, transaction_count int, fraud_share_pct decimal(6,2),
-    avg_amount decimal(12,2), median_amount decimal(12,2), pct_night_0_5 decimal(6,2),
-    pct_foreign decimal(6,2), pct_card_not_present decimal(6,2), avg_velocity_1h decimal(8,4),
-    avg_ip_risk decimal(6,2), pct_no_2fa decimal(6,2)"""
+    fraud_pattern=TEXT,
+    description=TEXT,
+    transaction_count=INT,
+    fraud_share_pct=dec(6, 2),
+    avg_amount=dec(12, 2),
+    median_amount=dec(12, 2),
+    pct_night_0_5=dec(6, 2),
+    pct_foreign=dec(6, 2),
+    pct_card_not_present=dec(6, 2),
+    avg_velocity_1h=dec(8, 4),
+    avg_ip_risk=dec(6, 2),
+    pct_no_2fa=dec(6, 2),
 )
 
 # the edge file has no id column; the id is a serial number that nothing reads
 NETWORK_EDGES = _schema(
-    """account_a string, account_b string, shared_type string, connection_count int,
-    ring_id string, both_fraud boolean"""
+    account_a=TEXT, account_b=TEXT, shared_type=TEXT, connection_count=INT, ring_id=TEXT, both_fraud=FLAG
 )
 
 TIME_SERIES_STATS = _schema(
-    """hour timestamp_ntz, transaction_count int, fraud_count int, total_amount decimal(14,2),
-    avg_amount decimal(12,2), avg_ip_risk decimal(6,2), fraud_rate decimal(8,6),
-    hour_of_day smallint, day_of_week smallint, is_weekend boolean"""
+    hour=TIME,
+    transaction_count=INT,
+    fraud_count=INT,
+    total_amount=dec(14, 2),
+    avg_amount=dec(12, 2),
+    avg_ip_risk=dec(6, 2),
+    fraud_rate=dec(8, 6),
+    hour_of_day=SMALL,
+    day_of_week=SMALL,
+    is_weekend=FLAG,
 )
 
 TRANSACTIONS = _schema(
-    """transaction_id string, account_id string, ts timestamp_ntz, hour_of_day smallint,
-    day_of_week smallint, is_weekend boolean, amount decimal(12,2), merchant_category string,
-    mcc_code smallint, merchant_country string, card_present boolean, device_type string,
-    device_known boolean, ip_risk_score decimal(6,2), is_foreign_txn boolean, time_since_last_s int,
-    velocity_1h int, amount_vs_avg_ratio decimal(10,4), account_age_days int, has_2fa boolean,
-    credit_limit decimal(12,2), is_fraud boolean, fraud_pattern string"""
+    transaction_id=TEXT,
+    account_id=TEXT,
+    ts=TIME,
+    hour_of_day=SMALL,
+    day_of_week=SMALL,
+    is_weekend=FLAG,
+    amount=dec(12, 2),
+    merchant_category=TEXT,
+    mcc_code=SMALL,
+    merchant_country=TEXT,
+    card_present=FLAG,
+    device_type=TEXT,
+    device_known=FLAG,
+    ip_risk_score=dec(6, 2),
+    is_foreign_txn=FLAG,
+    time_since_last_s=INT,
+    velocity_1h=INT,
+    amount_vs_avg_ratio=dec(10, 4),
+    account_age_days=INT,
+    has_2fa=FLAG,
+    credit_limit=dec(12, 2),
+    is_fraud=FLAG,
+    fraud_pattern=TEXT,
 )
 
-HEATMAP = _schema("day int, hour int, txn bigint, fraud bigint, rate double")
+HEATMAP = _schema(day=INT, hour=INT, txn=T.LongType(), fraud=T.LongType(), rate=T.DoubleType())
