@@ -33,10 +33,14 @@ def interpret(
     readings: Mapping[str, tuple[str, str]] = fv.READINGS,
 ) -> Column:
     """Plain-language reading of a metric's direction."""
-    rules = [(change.isNull(), fv.READING_UNKNOWN)]
-    for name, (rising, falling) in readings.items():
-        rules += [((metric == name) & (change > 0), rising), ((metric == name) & (change < 0), falling)]
-    return banded(rules, fv.READING_FLAT)
+    rising = F.create_map(*[F.lit(x) for name, (up, _) in readings.items() for x in (name, up)])
+    falling = F.create_map(*[F.lit(x) for name, (_, down) in readings.items() for x in (name, down)])
+    return (
+        F.when(change.isNull(), F.lit(fv.READING_UNKNOWN))
+        .when(change > 0, F.coalesce(F.try_element_at(rising, metric), F.lit(fv.READING_FLAT)))
+        .when(change < 0, F.coalesce(F.try_element_at(falling, metric), F.lit(fv.READING_FLAT)))
+        .otherwise(F.lit(fv.READING_FLAT))
+    )
 
 
 def verdict_tier(verdict: Column) -> Column:

@@ -71,7 +71,7 @@ def q03(t: StarTables) -> DataFrame:
 
 
 def q04(t: StarTables) -> DataFrame:
-    return money_mule(t.transactions, t.account_profiles)
+    return money_mule(t.transactions, t.accounts_with_fraud)
 
 
 def q05(t: StarTables) -> DataFrame:
@@ -79,7 +79,7 @@ def q05(t: StarTables) -> DataFrame:
 
 
 def q06(t: StarTables) -> DataFrame:
-    return cross_subsidy(t.transactions, t.account_profiles)
+    return cross_subsidy(t.transactions, t.accounts)
 
 
 def q07(t: StarTables) -> DataFrame:
@@ -223,7 +223,7 @@ def join_dimension(t: StarTables) -> DataFrame:
 
 def join_accounts(t: StarTables) -> DataFrame:
     """Fraud rows beside their account."""
-    accounts = t.account_profiles.select("account_id", "account_type", "home_country")
+    accounts = t.accounts.select("account_id", "account_type", "home_country")
     fraud = t.transactions.filter("is_fraud").select("transaction_id", "account_id")
     return fraud.join(accounts, "account_id")
 
@@ -246,7 +246,7 @@ def join_later_events(t: StarTables) -> DataFrame:
 
 
 def join_cross_totals(t: StarTables) -> DataFrame:
-    segments = segment_fraud(t.transactions, t.account_profiles)
+    segments = segment_fraud(t.transactions, t.accounts)
     named = segments.select("account_type", "total_txns", c("fraud_loss").cast("decimal(28,2)").alias("loss"))
     return totals.with_totals(named, {"all_txns": F.sum("total_txns"), "all_loss": F.sum("loss")}).select(
         "account_type", "total_txns", "all_txns", c("all_loss").cast("double").alias("all_loss")
@@ -381,13 +381,13 @@ def srt_top_k(t: StarTables) -> DataFrame:
 
 
 def srt_page(t: StarTables) -> DataFrame:
-    accounts = t.account_profiles.select("account_id", c("credit_limit").cast("double").alias("credit_limit"))
+    accounts = t.accounts.select("account_id", c("credit_limit").cast("double").alias("credit_limit"))
     return ranking.page(accounts, [("credit_limit", "desc"), ("account_id",)], number=3)
 
 
 def srt_page_deep(t: StarTables) -> DataFrame:
     """The last page, found in a stored sorted copy."""
-    accounts = t.account_profiles.select("account_id", c("credit_limit").cast("double").alias("credit_limit"))
+    accounts = t.accounts.select("account_id", c("credit_limit").cast("double").alias("credit_limit"))
     keys = [("credit_limit", "desc"), ("account_id",)]
     return ranking.page(accounts, keys, number=10**9, shallow_rows=100)
 

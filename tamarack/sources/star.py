@@ -9,16 +9,24 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.functions import round_exact, safe_div
 from tamarack.plans.derived import account_totals, hourly_rollup, pattern_profile, pattern_stats
+from tamarack.sources.files import spread
 
 
-def _padded(prefix: str, number: Column, width: int) -> Column:
-    text = number.cast("string")
-    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0")))
+def _padded(prefix: str, number: str, width: int) -> str:
+    text = f"CAST({number} AS STRING)"
+    return f"'{prefix}' || lpad({text}, greatest({width}, length({text})), '0')"
+
+
+def _rounded_ratio(part: str, whole: str, digits: int) -> str:
+    ratio = f"CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0D)"
+    return f"CAST(round(CAST({ratio} AS DECIMAL(28,10)), {digits}) AS DOUBLE)"
+
+
+_FRAUD = "k % 29 < CASE WHEN s < 21600 THEN 3 ELSE 1 END"
 
 
 class StarTables:
@@ -33,94 +41,105 @@ class StarTables:
 
     @cached_property
     def transactions(self) -> DataFrame:
-        seconds = F.expr("(l_orderkey*31 + l_partkey*17 + l_linenumber*7919) % 86400")
-        mix = F.expr("l_orderkey*131 + l_partkey*71 + l_suppkey*13 + l_linenumber")
-        lines = self._read("lineitem").withColumns({"s": seconds, "k": mix})
-        orders = self._read("orders").select("o_orderkey", "o_custkey")
-        parts = self._read("part").select("p_partkey", "p_type")
-        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-            parts, F.col("l_partkey") == F.col("p_partkey")
+        lines = spread(self._read("lineitem"), "l_orderkey").selectExpr(
+            "*",
+            "(l_orderkey*31 + l_partkey*17 + l_linenumber*7919) % 86400 AS s",
+            "l_orderkey*131 + l_partkey*71 + l_suppkey*13 + l_linenumber AS k",
         )
-        k, s = F.col("k"), F.col("s")
-        fraud = k % 29 < F.when(s < 21600, 3).otherwise(1)
-        weekday = F.weekday("l_shipdate")
-        return joined.select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("transaction_id"),
-            _padded("ACC", F.col("o_custkey"), 7).alias("account_id"),
-            F.expr("l_shipdate + s * INTERVAL '1' SECOND").alias("ts"),
-            F.expr("CAST((s - s % 3600) / 3600 AS INT)").alias("hour_of_day"),
-            weekday.alias("day_of_week"),
-            (weekday >= 5).alias("is_weekend"),
-            F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"),
-            F.col("p_type").alias("merchant_category"),
-            (F.col("l_suppkey") % 25).cast("string").alias("merchant_country"),
-            (k % 4 != 0).alias("card_present"),
-            F.col("l_returnflag").alias("device_type"),
-            (k % 7 < 4).alias("device_known"),
-            F.expr("CAST(((k * 37) % 1000) / 10.0 AS DECIMAL(6,2))").alias("ip_risk_score"),
-            (k % 3 == 0).alias("is_foreign_txn"),
-            (k % 11).cast("int").alias("velocity_1h"),
-            F.expr("CAST(l_quantity / 10 AS DECIMAL(10,4))").alias("amount_vs_avg_ratio"),
-            (k % 5 < 3).alias("has_2fa"),
-            fraud.alias("is_fraud"),
-            F.when(fraud, F.concat(F.lit("pattern_"), (F.col("l_partkey") % 7).cast("string"))).alias("fraud_pattern"),
+        orders = self._read("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
+        parts = self._read("part").selectExpr("p_partkey AS l_partkey", "p_type")
+        return (
+            lines.join(orders, "l_orderkey")
+            .join(parts, "l_partkey")
+            .selectExpr(
+                "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS transaction_id",
+                f"{_padded('ACC', 'o_custkey', 7)} AS account_id",
+                "l_shipdate + s * INTERVAL '1' SECOND AS ts",
+                "CAST((s - s % 3600) / 3600 AS INT) AS hour_of_day",
+                "weekday(l_shipdate) AS day_of_week",
+                "weekday(l_shipdate) >= 5 AS is_weekend",
+                "CAST(l_extendedprice AS DECIMAL(12,2)) AS amount",
+                "p_type AS merchant_category",
+                "CAST(l_suppkey % 25 AS STRING) AS merchant_country",
+                "k % 4 <> 0 AS card_present",
+                "l_returnflag AS device_type",
+                "k % 7 < 4 AS device_known",
+                "CAST(((k * 37) % 1000) / 10.0 AS DECIMAL(6,2)) AS ip_risk_score",
+                "k % 3 = 0 AS is_foreign_txn",
+                "CAST(k % 11 AS INT) AS velocity_1h",
+                "CAST(l_quantity / 10 AS DECIMAL(10,4)) AS amount_vs_avg_ratio",
+                "k % 5 < 3 AS has_2fa",
+                f"{_FRAUD} AS is_fraud",
+                f"CASE WHEN {_FRAUD} THEN 'pattern_' || (l_partkey % 7) END AS fraud_pattern",
+            )
         )
 
     @cached_property
-    def account_profiles(self) -> DataFrame:
-        per_account = account_totals(self.transactions)
-        customers = self._read("customer").select(
-            _padded("ACC", F.col("c_custkey"), 7).alias("account_id"),
-            F.expr("CAST((c_custkey*37) % 1500 AS INT)").alias("account_age_days"),
-            F.expr("CAST(ABS(c_acctbal) + 1000 AS DECIMAL(12,2))").alias("credit_limit"),
-            F.col("c_nationkey").cast("string").alias("home_country"),
-            F.expr("CAST(((c_custkey*53) % 600) / 10.0 AS DECIMAL(6,2))").alias("risk_score"),
-            F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0).alias("has_2fa"),
-            F.col("c_mktsegment").alias("account_type"),
+    def accounts(self) -> DataFrame:
+        """The part of the account table that does not come from transactions."""
+        return self._read("customer").selectExpr(
+            f"{_padded('ACC', 'c_custkey', 7)} AS account_id",
+            "CAST((c_custkey*37) % 1500 AS INT) AS account_age_days",
+            "CAST(abs(c_acctbal) + 1000 AS DECIMAL(12,2)) AS credit_limit",
+            "CAST(c_nationkey AS STRING) AS home_country",
+            "CAST(((c_custkey*53) % 600) / 10.0 AS DECIMAL(6,2)) AS risk_score",
+            "CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS has_2fa",
+            "c_mktsegment AS account_type",
         )
-        n = F.col("n")
-        return customers.join(per_account, "account_id", "left").select(
-            *customers.columns,
-            round_exact(safe_div(F.col("amt"), n), 2).alias("avg_txn_amount"),
-            round_exact(safe_div(n, F.lit(82)), 2).alias("avg_monthly_txns"),
-            n.alias("total_transactions"),
-            F.col("amt").alias("total_amount"),
-            F.col("mx").alias("max_amount"),
-            F.col("nf").alias("fraud_count"),
-            F.col("amtf").alias("fraud_amount"),
-            round_exact(safe_div(F.col("nfor"), n), 4).alias("pct_foreign"),
-            round_exact(safe_div(F.col("vel"), n), 4).alias("avg_velocity"),
-            F.col("nc").alias("unique_countries"),
-            F.col("ncat").alias("unique_categories"),
-            round_exact(safe_div(F.col("ip"), n), 2).alias("avg_ip_risk"),
-            F.when(F.col("nf") > 2, 1).otherwise(0).alias("is_fraudster"),
+
+    @cached_property
+    def accounts_with_fraud(self) -> DataFrame:
+        """Accounts with their fraud count only, for readers of nothing else."""
+        return self._flagged(self.accounts.join(self._fraud_counts, "account_id", "left"))
+
+    @cached_property
+    def _fraud_counts(self) -> DataFrame:
+        return self.transactions.filter("is_fraud").groupBy("account_id").agg(F.count("*").alias("nf"))
+
+    @staticmethod
+    def _flagged(df: DataFrame) -> DataFrame:
+        return df.withColumn("is_fraudster", F.expr("CASE WHEN nf > 2 THEN 1 ELSE 0 END"))
+
+    @cached_property
+    def account_profiles(self) -> DataFrame:
+        joined = self.accounts.join(account_totals(self.transactions), "account_id", "left")
+        return self._flagged(joined).selectExpr(
+            *self.accounts.columns,
+            f"{_rounded_ratio('amt', 'n', 2)} AS avg_txn_amount",
+            f"{_rounded_ratio('n', '82', 2)} AS avg_monthly_txns",
+            "n AS total_transactions",
+            "amt AS total_amount",
+            "mx AS max_amount",
+            "nf AS fraud_count",
+            "amtf AS fraud_amount",
+            f"{_rounded_ratio('nfor', 'n', 4)} AS pct_foreign",
+            f"{_rounded_ratio('vel', 'n', 4)} AS avg_velocity",
+            "nc AS unique_countries",
+            "ncat AS unique_categories",
+            f"{_rounded_ratio('ip', 'n', 2)} AS avg_ip_risk",
+            "is_fraudster",
         )
 
     @cached_property
     def network_edges(self) -> DataFrame:
-        defrauded = self.transactions.filter("is_fraud").groupBy("account_id").agg(F.count("*").alias("nf"))
         pairs = (
             self._read("customer")
-            .select(F.col("c_custkey").alias("a"), F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
-            .withColumn("b", F.col("a") + F.col("step"))
+            .selectExpr("c_custkey AS a", "explode(array(c_custkey + 1, c_custkey + 2)) AS b")
             .filter("a - a % 10 = b - b % 10")
+            .selectExpr(
+                f"{_padded('ACC', 'a', 7)} AS account_a",
+                f"{_padded('ACC', 'b', 7)} AS account_b",
+                "CASE a % 3 WHEN 0 THEN 'device' WHEN 1 THEN 'ip' ELSE 'address' END AS shared_type",
+                "CAST(1 + a % 5 AS INT) AS connection_count",
+                f"{_padded('RING', 'CAST((a - a % 10) / 10 AS BIGINT)', 4)} AS ring_id",
+            )
         )
-        ends = pairs.withColumns(
-            {"account_a": _padded("ACC", F.col("a"), 7), "account_b": _padded("ACC", F.col("b"), 7)}
-        )
-        first = defrauded.select(F.col("account_id").alias("account_a"), F.col("nf").alias("nf_a"))
-        second = defrauded.select(F.col("account_id").alias("account_b"), F.col("nf").alias("nf_b"))
+        first = self._fraud_counts.selectExpr("account_id AS account_a", "nf AS nf_a")
+        second = self._fraud_counts.selectExpr("account_id AS account_b", "nf AS nf_b")
         return (
-            ends.join(first, "account_a", "left")
+            pairs.join(first, "account_a", "left")
             .join(second, "account_b", "left")
-            .select(
-                "account_a",
-                "account_b",
-                F.expr("CASE a % 3 WHEN 0 THEN 'device' WHEN 1 THEN 'ip' ELSE 'address' END").alias("shared_type"),
-                F.expr("CAST(1 + a % 5 AS INT)").alias("connection_count"),
-                _padded("RING", F.expr("CAST((a - a % 10) / 10 AS BIGINT)"), 4).alias("ring_id"),
-                (F.col("nf_a").isNotNull() & F.col("nf_b").isNotNull()).alias("both_fraud"),
-            )
+            .select(*pairs.columns, F.expr("nf_a IS NOT NULL AND nf_b IS NOT NULL AS both_fraud"))
         )
 
     @cached_property
