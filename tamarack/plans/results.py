@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack import fixed_values as fv
 from tamarack.functions import ratio_pct, round_exact, safe_div, verdict_tier
 from tamarack.operators.filters import dimension_filter, text_search
 from tamarack.operators.ranking import table_view, top_k
-from tamarack.operators.totals import share_of_total, total
+from tamarack.operators.totals import share_of_total
 
 MONEY = "decimal(28,2)"
 RATIO = "decimal(28,4)"
@@ -54,7 +54,7 @@ def portfolio_kpis(
     ).scalar()
     return (
         chosen.withColumn("rings", rings)
-        .withColumn("loss_to_response_lag", total(lag, _sum_money("loss_after_response_window_missed")))
+        .withColumn("loss_to_response_lag", lag.agg(_sum_money("loss_after_response_window_missed")).scalar())
         .select("total_loss", "total_fraud_txns", "rings.*", "loss_to_response_lag")
     )
 
@@ -81,16 +81,12 @@ def heatmap(hourly: DataFrame) -> DataFrame:
     grid = hourly.sparkSession.range(7 * 24).select(
         F.expr("CAST(id div 24 AS INT)").alias("day"), F.expr("CAST(id % 24 AS INT)").alias("hour")
     )
-    rate, hottest = zero_if_null(F.col("rate")), total(cells, F.max("rate"))
-    # a grid of fixed size meets at most as many cells
-    return F.broadcast(grid).join(cells, ["day", "hour"], "left").select(
-        "day",
-        "hour",
-        zero_if_null(F.col("txn")).alias("txn"),
-        zero_if_null(F.col("fraud")).alias("fraud"),
-        rate.alias("rate"),
-        round_exact(zero_if_null(safe_div(rate, hottest)), 4).alias("intensity"),
+    filled = grid.join(cells, ["day", "hour"], "left").select(
+        "day", "hour", *[zero_if_null(F.col(x)).alias(x) for x in ("txn", "fraud", "rate")]
     )
+    # 168 rows at most
+    hottest = F.max("rate").over(Window.partitionBy())
+    return filled.withColumn("intensity", round_exact(zero_if_null(safe_div(F.col("rate"), hottest)), 4))
 
 
 def metric_trend(evolution: DataFrame, metric: str, years: Sequence[int] = fv.YEARS) -> DataFrame:
@@ -142,8 +138,7 @@ def score_histogram(
     )
     all_bins = identity.sparkSession.range(bins).select((F.col("id") * width).cast("int").alias("bin_start"))
     return (
-        F.broadcast(all_bins)
-        .join(counts, "bin_start", "left")
+        all_bins.join(counts, "bin_start", "left")
         .select(
             "bin_start",
             zero_if_null(F.col("fraudsters")).alias("fraudsters"),
