@@ -42,6 +42,10 @@ def yoy_changes(yearly: DataFrame) -> DataFrame:
 
 
 def yoy_evolution(transactions: DataFrame, years: Sequence[int] = fv.YEARS) -> DataFrame:
+    return summarise_evolution(yearly_metrics(transactions), years)
+
+
+def summarise_evolution(yearly: DataFrame, years: Sequence[int] = fv.YEARS) -> DataFrame:
     """One row per pattern and metric: values by year, average change, reading.
 
     The year columns and the average change come from one aggregate over the
@@ -52,7 +56,7 @@ def yoy_evolution(transactions: DataFrame, years: Sequence[int] = fv.YEARS) -> D
         [(change.isNull(), fv.TREND_UNKNOWN), (change > 0, fv.TREND_UP), (change < 0, fv.TREND_DOWN)], fv.TREND_FLAT
     )
     return (
-        yoy_changes(yearly_metrics(transactions))
+        yoy_changes(yearly)
         .groupBy("fraud_pattern", "metric")
         .agg(
             *pivot_years(F.col("value"), F.col("year"), years),
