@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.operators.sequences import first_per_group
+from tamarack.operators.joins import HOT_ROWS, sized_join
 
 
 def first_event(transactions: DataFrame) -> DataFrame:
@@ -19,24 +19,40 @@ def ring_members(edges: DataFrame) -> DataFrame:
     return edges.filter("both_fraud").select("ring_id", ends).distinct()
 
 
-def ring_first_events(transactions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of named rings with the time of their first fraud."""
-    return ring_members(edges.filter("ring_id IS NOT NULL")).join(first_event(transactions), "account_id")
+def ring_first_events(transactions: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Members of named rings with the time of their first fraud.
+
+    An account may belong to any number of rings; the join divides such a hub.
+    """
+    members = ring_members(edges.filter("ring_id IS NOT NULL AND account_a IS NOT NULL AND account_b IS NOT NULL"))
+    rings_of = members.groupBy("account_id").agg(F.count("*").alias("rings"))
+    dated = first_event(transactions).join(rings_of, "account_id")
+    return sized_join(members, dated, "account_id", "rings", "ring_id", hot_rows)
 
 
 def ring_seeds(members: DataFrame) -> DataFrame:
     """Earliest member of each ring, the lower account first on equal times."""
-    first = first_per_group(members, ["ring_id"], ["first_fraud_date", "account_id"])
-    return first.select(
-        "ring_id", F.col("account_id").alias("seed_account"), F.col("first_fraud_date").alias("seed_fraud_date")
+    return _seeds_with_size(members).drop("members")
+
+
+def _seeds_with_size(members: DataFrame) -> DataFrame:
+    return (
+        members.groupBy("ring_id")
+        .agg(F.min(F.struct("first_fraud_date", "account_id")).alias("first"), F.count("*").alias("members"))
+        .select(
+            "ring_id",
+            F.col("first.account_id").alias("seed_account"),
+            F.col("first.first_fraud_date").alias("seed_fraud_date"),
+            "members",
+        )
     )
 
 
-def ring_pairs(seeds: DataFrame, members: DataFrame) -> DataFrame:
-    """Every other member of a ring beside its seed.
+def ring_pairs(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every other member of a ring beside the ring's seed.
 
-    One seed row per ring, so the output is no larger than the members. A hot
-    ring is a skewed join key with a single row opposite; adaptive execution
-    divides it, as nothing after the join relies on its partitioning by ring.
+    One seed row per ring, so the output is no larger than the members. A ring
+    of more than ``hot_rows`` members is divided among tasks.
     """
-    return members.join(seeds, "ring_id").filter(F.col("account_id") != F.col("seed_account"))
+    beside = sized_join(members, _seeds_with_size(members), "ring_id", "members", "account_id", hot_rows)
+    return beside.filter(F.col("account_id") != F.col("seed_account"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamarack import fixed_values as fv
 from tamarack.functions import plus_days
 from tamarack.operators.ranking import order
-from tamarack.operators.rings import ring_first_events, ring_pairs, ring_seeds
+from tamarack.operators.rings import ring_first_events, ring_pairs
 from tamarack.operators.timeline import totals_after
 
 
@@ -21,7 +21,7 @@ def response_lag(transactions: DataFrame, edges: DataFrame, window_days: int = f
     the window is the difference.
     """
     members = ring_first_events(transactions, edges)
-    others = ring_pairs(ring_seeds(members), members)
+    others = ring_pairs(members)
     seed = F.col("seed_fraud_date")
     instants = F.posexplode(F.array(seed, plus_days(seed, window_days))).alias("cut", "ts")
     marks = others.select("account_id", "ring_id", "seed_account", "seed_fraud_date", instants)

@@ -233,8 +233,7 @@ def join_first_event(t: StarTables) -> DataFrame:
 
 
 def join_ring_pairs(t: StarTables) -> DataFrame:
-    members = rings.ring_first_events(t.transactions, t.network_edges)
-    return rings.ring_pairs(rings.ring_seeds(members), members)
+    return rings.ring_pairs(rings.ring_first_events(t.transactions, t.network_edges))
 
 
 def join_later_events(t: StarTables) -> DataFrame:
