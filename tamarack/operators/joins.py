@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 10_000
 SALTS = 64
-HOT_ROWS = 1_000_000
 
 
 def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
@@ -58,33 +57,3 @@ def attach_stats(
     if small is not None:
         return rows.join(F.broadcast(small), list(keys), how)
     return salted_join(rows, stats, keys, spread_by, salts, how)
-
-
-def sized_join(
-    rows: DataFrame,
-    stats: DataFrame,
-    key: str,
-    size: str,
-    spread_by: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join on ``key`` when ``stats`` knows how many ``rows`` each key has.
-
-    Adaptive execution does not divide a skewed join whose other side is itself
-    an aggregate by the join key, so hot keys are divided here: a key with more
-    than ``hot_rows`` rows is split into as many parts as it takes, and its one
-    row of statistics repeated for each part. Other keys stay as they are. The
-    list of hot keys is broadcast; each owns more than ``hot_rows`` rows, so it
-    has fewer than (all rows / hot_rows) entries, and when it is empty adaptive
-    execution removes that join.
-    """
-    parts = F.ceil(F.col(size) / F.lit(hot_rows))
-    # the whole row is tested so that this reads the same aggregate as the join below, and reuses its shuffle
-    whole = F.xxhash64(*stats.columns).isNotNull()
-    hot = stats.filter((F.col(size) > hot_rows) & whole).select(key, parts.alias("_parts"))
-    left = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_part", F.pmod(F.xxhash64(spread_by), F.coalesce("_parts", F.lit(1)))
-    )
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.greatest(parts, F.lit(1)) - 1)
-    right = stats.withColumn("_part", F.explode(numbers))
-    return left.join(right, [key, "_part"]).drop("_part", "_parts", size)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.operators.joins import HOT_ROWS, sized_join
+from tamarack.operators.sequences import first_per_group
+from tamarack.session import stored
 
 
 def first_event(transactions: DataFrame) -> DataFrame:
@@ -19,40 +20,30 @@ def ring_members(edges: DataFrame) -> DataFrame:
     return edges.filter("both_fraud").select("ring_id", ends).distinct()
 
 
-def ring_first_events(transactions: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ring_first_events(transactions: DataFrame, edges: DataFrame) -> DataFrame:
     """Members of named rings with the time of their first fraud.
 
-    An account may belong to any number of rings; the join divides such a hub.
+    An account may belong to any number of rings. Adaptive execution divides
+    such a hub, but only where both sides of the join are plain shuffles; an
+    aggregate by the join key is not one, so the first events are stored first.
     """
     members = ring_members(edges.filter("ring_id IS NOT NULL AND account_a IS NOT NULL AND account_b IS NOT NULL"))
-    rings_of = members.groupBy("account_id").agg(F.count("*").alias("rings"))
-    dated = first_event(transactions).join(rings_of, "account_id")
-    return sized_join(members, dated, "account_id", "rings", "ring_id", hot_rows)
+    return members.join(stored(first_event(transactions), "first-events"), "account_id")
 
 
 def ring_seeds(members: DataFrame) -> DataFrame:
     """Earliest member of each ring, the lower account first on equal times."""
-    return _seeds_with_size(members).drop("members")
-
-
-def _seeds_with_size(members: DataFrame) -> DataFrame:
-    return (
-        members.groupBy("ring_id")
-        .agg(F.min(F.struct("first_fraud_date", "account_id")).alias("first"), F.count("*").alias("members"))
-        .select(
-            "ring_id",
-            F.col("first.account_id").alias("seed_account"),
-            F.col("first.first_fraud_date").alias("seed_fraud_date"),
-            "members",
-        )
+    first = first_per_group(members, ["ring_id"], ["first_fraud_date", "account_id"])
+    return first.select(
+        "ring_id", F.col("account_id").alias("seed_account"), F.col("first_fraud_date").alias("seed_fraud_date")
     )
 
 
-def ring_pairs(members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ring_pairs(members: DataFrame) -> DataFrame:
     """Every other member of a ring beside the ring's seed.
 
-    One seed row per ring, so the output is no larger than the members. A ring
-    of more than ``hot_rows`` members is divided among tasks.
+    One seed row per ring, so the output is no larger than the members. Seeds
+    are stored for the same reason: a hot ring is then divided among tasks.
     """
-    beside = sized_join(members, _seeds_with_size(members), "ring_id", "members", "account_id", hot_rows)
-    return beside.filter(F.col("account_id") != F.col("seed_account"))
+    seeds = stored(ring_seeds(members), "seeds")
+    return members.join(seeds, "ring_id").filter(F.col("account_id") != F.col("seed_account"))

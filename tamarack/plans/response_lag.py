@@ -10,6 +10,7 @@ from tamarack.functions import plus_days
 from tamarack.operators.ranking import order
 from tamarack.operators.rings import ring_first_events, ring_pairs
 from tamarack.operators.timeline import totals_after
+from tamarack.session import stored
 
 
 def response_lag(transactions: DataFrame, edges: DataFrame, window_days: int = fv.RESPONSE_WINDOW_DAYS) -> DataFrame:
@@ -20,7 +21,7 @@ def response_lag(transactions: DataFrame, edges: DataFrame, window_days: int = f
     account in many rings with much fraud is not multiplied out; the loss within
     the window is the difference.
     """
-    members = ring_first_events(transactions, edges)
+    members = stored(ring_first_events(transactions, edges), "rings")
     others = ring_pairs(members)
     seed = F.col("seed_fraud_date")
     instants = F.posexplode(F.array(seed, plus_days(seed, window_days))).alias("cut", "ts")

@@ -12,12 +12,13 @@ from tamarack.functions import banded, days_between, micros, round_exact
 from tamarack.functions.times import MICROS_PER_DAY
 from tamarack.operators.ranking import order
 from tamarack.operators.rings import ring_first_events
+from tamarack.session import stored
 
 
 def ring_contagion(
     transactions: DataFrame, edges: DataFrame, cuts: Sequence[tuple[float, str]] = fv.RESPONSE_CUTS
 ) -> DataFrame:
-    return contagion_speed(ring_first_events(transactions, edges), cuts)
+    return contagion_speed(stored(ring_first_events(transactions, edges), "rings"), cuts)
 
 
 def contagion_speed(members: DataFrame, cuts: Sequence[tuple[float, str]] = fv.RESPONSE_CUTS) -> DataFrame:

@@ -39,7 +39,7 @@ from tamarack.plans.response_lag import response_lag
 from tamarack.plans.ring_contagion import ring_contagion
 from tamarack.plans.synthetic_identity import cohort_stats, identity_metrics, synthetic_identity
 from tamarack.plans.yoy_evolution import yearly_metrics, yoy_changes, yoy_evolution
-from tamarack.session import shared_folder
+from tamarack.session import shared_folder, stored
 from tamarack.sources import files, schemas
 from tamarack.sources.star import StarTables
 
@@ -233,7 +233,7 @@ def join_first_event(t: StarTables) -> DataFrame:
 
 
 def join_ring_pairs(t: StarTables) -> DataFrame:
-    return rings.ring_pairs(rings.ring_first_events(t.transactions, t.network_edges))
+    return rings.ring_pairs(stored(rings.ring_first_events(t.transactions, t.network_edges), "rings"))
 
 
 def join_later_events(t: StarTables) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -52,3 +52,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         root = spark.conf.get(CHECKPOINT_CONF, None)
         spark.sparkContext.setCheckpointDir(root or shared_folder(spark, "checkpoint"))
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows of ``df`` read back from a table written to the shared folder.
+
+    For a result that several later steps read: it is computed once, its lineage
+    ends at the files, and its size is known when the next join is planned. Lost
+    executors cost nothing but a re-read.
+    """
+    path = f"{shared_folder(df.sparkSession, purpose)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

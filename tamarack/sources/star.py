@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tamarack.plans.derived import account_totals, hourly_rollup, pattern_profile, pattern_stats
 from tamarack.sources.files import spread
@@ -26,6 +27,8 @@ def _rounded_ratio(part: str, whole: str, digits: int) -> str:
     return f"CAST(round(CAST({ratio} AS DECIMAL(28,10)), {digits}) AS DOUBLE)"
 
 
+# schemas already read from the files' footers
+_SCHEMAS: dict[str, StructType] = {}
 _FRAUD = "k % 29 < CASE WHEN s < 21600 THEN 3 ELSE 1 END"
 
 
@@ -37,7 +40,10 @@ class StarTables:
         self.folder = folder
 
     def _read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        path = f"{self.folder}/{table}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def transactions(self) -> DataFrame:

@@ -14,6 +14,7 @@ from tamarack.plans.precrime_drift import precrime_drift
 from tamarack.plans.resource_efficiency import resource_efficiency
 from tamarack.plans.ring_contagion import ring_contagion
 from tamarack.plans.yoy_evolution import yoy_evolution
+from tamarack.session import stored
 from tests import frames
 
 
@@ -46,7 +47,7 @@ def settings(spark, **values):
 
 
 @pytest.fixture(scope="module")
-def stored(spark, tmp_path_factory):
+def lake(spark, tmp_path_factory):
     """Transactions as a parquet table, as they would lie on a cluster."""
     rng = random.Random(5)
     rows = []
@@ -76,8 +77,8 @@ def test_no_python_rows_and_no_products(spark, small, name):
     assert not re.search(r"EvalPython|InPandas|InArrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
 
 
-def test_filter_and_columns_reach_the_scan(spark, stored):
-    tx = spark.read.parquet(stored)
+def test_filter_and_columns_reach_the_scan(spark, lake):
+    tx = spark.read.parquet(lake)
     patterns = spark.createDataFrame(
         [("p0", 1.0, 2.0, 3.0)],
         "fraud_pattern string, avg_velocity_1h double, pct_card_not_present double, pct_foreign double",
@@ -92,34 +93,41 @@ def test_filter_and_columns_reach_the_scan(spark, stored):
 
 
 @pytest.mark.parametrize("build, scans", [(yoy_evolution, 1), (pattern_evolution, 1), (precrime_drift, 2)])
-def test_scans_of_the_transactions(spark, stored, build, scans):
-    plan = executed_plan(build(spark.read.parquet(stored)))
+def test_scans_of_the_transactions(spark, lake, build, scans):
+    plan = executed_plan(build(spark.read.parquet(lake)))
     assert "ResultQueryStage" in plan and len(re.findall("FileScan parquet", plan)) <= scans
 
 
-def test_absent_hot_accounts_cost_nothing(spark, stored):
+def test_absent_hot_accounts_cost_nothing(spark, lake):
     """With no hot account the second branch is replaced by an empty relation."""
-    plan = executed_plan(precrime_drift(spark.read.parquet(stored)))
+    plan = executed_plan(precrime_drift(spark.read.parquet(lake)))
     assert "LeftAnti" not in plan and "_hour" not in plan
 
 
 def test_a_hot_ring_is_divided_where_members_meet_their_seed(spark):
-    """A third of the members belong to one ring; no task may get them all."""
-    members = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("R"), F.col("id") % 500)).alias("ring_id"),
-        F.concat(F.lit("ACC"), "id").alias("account_id"),
-        F.timestamp_add("MINUTE", F.col("id"), F.expr("TIMESTAMP_NTZ'2022-01-01 00:00:00'")).alias("first_fraud_date"),
+    """A third of the members belong to one ring; adaptive execution splits its partition."""
+    members = stored(
+        spark.range(30000).select(
+            F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("R"), F.col("id") % 5000)).alias("ring_id"),
+            F.sha2(F.col("id").cast("string"), 256).alias("account_id"),
+            F.timestamp_add("MINUTE", F.col("id"), F.expr("TIMESTAMP_NTZ'2022-01-01 00:00:00'")).alias(
+                "first_fraud_date"
+            ),
+        ),
+        "members",
     )
     with settings(
         spark,
         spark__sql__autoBroadcastJoinThreshold="-1",
-        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="32KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="64KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
         spark__sql__shuffle__partitions="16",
     ):
-        pairs = rings.ring_pairs(members, hot_rows=50)
-        sizes = pairs.groupBy(F.spark_partition_id()).count().collect()
-    assert sum(r["count"] for r in sizes) == 3000 - 1 - 500 + 0
-    assert max(r["count"] for r in sizes) < 500
+        pairs = rings.ring_pairs(members.repartition(8))
+        assert pairs.count() == 30000 - 1 - 5000
+        plan = executed_plan(pairs.groupBy("account_id").count())
+    assert "skew=true" in plan
 
 
 def test_contagion_never_joins_members_with_their_ring(spark):
@@ -127,4 +135,4 @@ def test_contagion_never_joins_members_with_their_ring(spark):
     tx = frames.transactions(spark, [{"account_id": a, "is_fraud": True, "ts": frames.after(i)} for i, a in enumerate("ABC")])
     edges = frames.edges(spark, [("A", "B", "R"), ("B", "C", "R")])
     plan = ring_contagion(tx, edges)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan and plan.count("Join") == 1
