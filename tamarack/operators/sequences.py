@@ -68,7 +68,7 @@ def sequence(df: DataFrame, key: str, ts: str, tie: str, hot_rows: int = HOT_ROW
 
     The list of hot keys is broadcast: each of them owns more than ``hot_rows``
     rows, so it has fewer than (all rows / hot_rows) entries. When it is empty
-    adaptive execution drops both joins and the whole hot branch.
+    adaptive execution can drop both joins and the whole hot branch.
     """
     hot_keys = F.broadcast(
         df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
