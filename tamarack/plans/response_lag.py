@@ -14,14 +14,18 @@ from tamarack.session import stored
 
 
 def response_lag(transactions: DataFrame, edges: DataFrame, window_days: int = fv.RESPONSE_WINDOW_DAYS) -> DataFrame:
-    """Loss of the other members after the seed date, split at the response window.
+    """Loss of the other members after the seed date, split at the response window."""
+    return lag_cost(stored(ring_first_events(transactions, edges), "rings"), transactions, window_days)
+
+
+def lag_cost(members: DataFrame, transactions: DataFrame, window_days: int = fv.RESPONSE_WINDOW_DAYS) -> DataFrame:
+    """The same from (ring_id, account_id, first_fraud_date), which the contagion reads as well.
 
     Each member asks its own fraud twice for what came later: after the seed
     date and after the window. Both answers come from running totals, so an
     account in many rings with much fraud is not multiplied out; the loss within
     the window is the difference.
     """
-    members = stored(ring_first_events(transactions, edges), "rings")
     others = ring_pairs(members)
     seed = F.col("seed_fraud_date")
     instants = F.posexplode(F.array(seed, plus_days(seed, window_days))).alias("cut", "ts")

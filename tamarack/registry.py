@@ -35,8 +35,8 @@ from tamarack.plans.pattern_evolution import (
 )
 from tamarack.plans.precrime_drift import clean_history, precrime_drift
 from tamarack.plans.resource_efficiency import resource_efficiency
-from tamarack.plans.response_lag import response_lag
-from tamarack.plans.ring_contagion import ring_contagion
+from tamarack.plans.response_lag import lag_cost, response_lag
+from tamarack.plans.ring_contagion import contagion_speed, ring_contagion
 from tamarack.plans.synthetic_identity import cohort_stats, identity_metrics, synthetic_identity
 from tamarack.plans.yoy_evolution import yearly_metrics, yoy_changes, yoy_evolution
 from tamarack.session import shared_folder, stored
@@ -490,6 +490,12 @@ def sca_verdict_tier(t: StarTables) -> DataFrame:
 # --- summaries ----------------------------------------------------------------------------------
 
 
+def _portfolio(t: StarTables, pattern: str = fv.NO_FILTER) -> DataFrame:
+    """Contagion and lag cost read the same members, found once."""
+    members = stored(rings.ring_first_events(t.transactions, t.network_edges), "rings")
+    return results.portfolio_kpis(q01(t), contagion_speed(members), lag_cost(members, t.transactions), pattern)
+
+
 def res_heatmap(t: StarTables) -> DataFrame:
     return results.heatmap(t.time_series_stats)
 
@@ -562,8 +568,8 @@ def queries() -> dict[str, Query]:
         "sca_days_between": sca_days_between,
         "sca_strip_pictographs": sca_strip_pictographs,
         "sca_verdict_tier": sca_verdict_tier,
-        "res_portfolio_kpis": lambda t: results.portfolio_kpis(q01(t), q05(t), q08(t)),
-        "res_portfolio_kpis_filtered": lambda t: results.portfolio_kpis(q01(t), q05(t), q08(t), "pattern_2"),
+        "res_portfolio_kpis": _portfolio,
+        "res_portfolio_kpis_filtered": lambda t: _portfolio(t, "pattern_2"),
         "res_loss_share": lambda t: results.loss_share(q01(t)),
         "res_heatmap": res_heatmap,
         "res_metric_trend": lambda t: results.metric_trend(q02(t), "avg_ip_risk", STAR_YEARS),

@@ -36,10 +36,11 @@ def build_session(app_name: str = "tamarack", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for files that other executors must be able to read.
 
-    It lies below ``spark.checkpoint.dir``. Only a local master may do without
-    that setting: there all executors share this machine.
+    It lies below ``spark.checkpoint.dir`` (or the context's checkpoint folder,
+    if only that is set). Only a local master may do without: there all
+    executors share this machine.
     """
-    root = spark.conf.get(CHECKPOINT_CONF, None)
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
