@@ -20,10 +20,10 @@ from tamarack.functions.numbers import (
     zscore,
 )
 from tamarack.functions.text import contains_text, strip_pictographs, title_case
-from tamarack.functions.times import days_between, micros, plus_days, year_of
+from tamarack.functions.times import days_between, hour_start, micros, plus_days, year_of
 
 __all__ = [
-    "banded", "capped", "clip", "contains_text", "days_between", "euclid", "interpret", "label_flag",
+    "banded", "capped", "clip", "contains_text", "days_between", "euclid", "hour_start", "interpret", "label_flag",
     "mean", "mean_if", "micros", "pct_change", "pct_true", "per_year", "plus_days", "positive_count",
     "ratio_pct", "round_exact", "safe_div", "sd_or_null", "strip_pictographs", "sum_if", "time_window",
     "title_case", "verdict_tier", "weighted_clip_score", "year_of", "zscore",

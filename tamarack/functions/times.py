@@ -28,3 +28,8 @@ def plus_days(ts: Column, days: int) -> Column:
 
 def year_of(ts: Column) -> Column:
     return F.year(ts)
+
+
+def hour_start(ts: Column) -> Column:
+    """The full hour that a zone-less timestamp lies in (date_trunc would pass through the session zone)."""
+    return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(ts))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.functions import hour_start
+
 HOT_ROWS = 5_000_000
 
 
@@ -42,7 +44,7 @@ def number_hot_rows(df: DataFrame, key: str, ts: str, order: Sequence[str]) -> D
     Rows are numbered within (key, hour); the counts of the earlier hours, at
     most one row per hour of the calendar for each key, shift the numbers.
     """
-    hourly = df.withColumn("_hour", F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz"))
+    hourly = df.withColumn("_hour", hour_start(F.col(ts)))
     calendar = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         hourly.groupBy(key, "_hour")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack import fixed_values as fv
-from tamarack.functions import mean, pct_true, ratio_pct, round_exact, safe_div, sum_if
+from tamarack.functions import hour_start, mean, pct_true, ratio_pct, round_exact, safe_div, sum_if
 from tamarack.operators.medians import exact_median
 from tamarack.operators.totals import share_of_total
 
@@ -95,7 +95,7 @@ def pattern_profile(transactions: DataFrame) -> DataFrame:
 
 def hourly_rollup(transactions: DataFrame) -> DataFrame:
     """The ``time_series_stats`` table: one row per calendar hour; Monday is day 0."""
-    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    hour = hour_start(F.col("ts"))
     n, weekday = F.col("transaction_count"), F.weekday("hour")
     return (
         transactions.groupBy(hour.alias("hour"))

@@ -142,10 +142,12 @@ def test_times_do_not_depend_on_the_session_zone(spark):
         fn.micros(F.col("a")).alias("micros"),
         fn.plus_days(F.col("a"), 5).alias("later"),
         fn.year_of(F.col("b")).alias("year"),
+        fn.hour_start(F.expr("TIMESTAMP_NTZ'2022-03-27 02:30:00'")).alias("hour"),  # an hour Berlin skipped
     ]
     expected = df.select(columns).first()
     assert expected.days == pytest.approx(1.125 + 0.5 / 86400) and expected.later == dt.datetime(2022, 3, 31, 12)
     assert expected.micros == int((a - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000 and expected.year == 2022
+    assert expected.hour == dt.datetime(2022, 3, 27, 2)
     spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # the clock changed in between
     try:
         assert df.select(columns).first() == expected
