@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,22 +33,20 @@ def build_session(app_name: str = "tamarack", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for files that other executors must be able to read.
+    """A fresh folder for files that every executor must be able to read; it goes when the session's JVM ends.
 
-    It lies below ``spark.checkpoint.dir`` (or the context's checkpoint folder,
-    if only that is set). Only a local master may do without: there all
-    executors share this machine.
+    It lies below ``spark.checkpoint.dir``. Where that is unset, as in tests, it
+    lies below the warehouse, which a cluster shares as well.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        return tempfile.mkdtemp(prefix=f"tamarack-{purpose}-")
-    return f"{root.rstrip('/')}/tamarack-{purpose}-{uuid.uuid4().hex}"
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tamarack-{purpose}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Let ``DataFrame.checkpoint()`` work: the cluster's folder, or a local one in tests."""
+    """Let ``DataFrame.checkpoint()`` work: the cluster's folder, or one of our own in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         root = spark.conf.get(CHECKPOINT_CONF, None)
         spark.sparkContext.setCheckpointDir(root or shared_folder(spark, "checkpoint"))
