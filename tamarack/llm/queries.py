@@ -11,14 +11,21 @@ from tamarack.llm.common import table, without_spaces
 from tamarack.llm.exact_dedup import exact_groups
 from tamarack.llm.license_scan import license_scan
 from tamarack.llm.mixing import mix
+from tamarack.llm.packing import packed
+from tamarack.llm.quality import THRESHOLD, held_out, with_quality
 from tamarack.llm.sharding import sharded
 from tamarack.llm.url_filter import url_verdicts
+from tamarack.llm.vector_search import build_index, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 c = F.col
 
 
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     rows = mix(table(spark, folder, "documents"), carry=["doc_id"]).rows
     taken = (c("size") * c("copies")).cast("long").alias("taken")
@@ -41,6 +48,20 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    scored = with_quality(docs, labels)
+    predicted = (c("score") >= THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", F.coalesce(held_out(c("doc_id")), F.lit(False)).alias("held_out"), "score", predicted)
+
+
+def op6_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = build_index(table(spark, folder, "embeddings"))
+    if index is None:
+        return spark.range(0).selectExpr("id AS query_id", "0 AS rank", "id AS vec_id", "0D AS score")
+    return search(index, c("_id") % 50 == 0)
+
+
 def op7_exact_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharded(table(spark, folder, "documents"), carry=["doc_id"])
     return rows.select(
@@ -79,9 +100,12 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_best_fit_packing,
         op2_source_mix,
         op3_exact_dedup,
         op4_url_filter,
+        op5_quality,
+        op6_vector_search,
         op7_exact_shards,
         op8_license_scan,
     )

@@ -42,7 +42,7 @@ def test_empty_tables(spark, empty, name, tmp_path):
     if name == "op4_url_filter":
         spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
         empty = str(tmp_path)
-    elif name == "op6_ann":
+    elif name == "op6_vector_search":
         spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
         empty = str(tmp_path)
     elif name == "op5_quality":
