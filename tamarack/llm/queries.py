@@ -14,6 +14,7 @@ from tamarack.llm.mixing import mix
 from tamarack.llm.packing import packed
 from tamarack.llm.quality import THRESHOLD, held_out, with_quality
 from tamarack.llm.sharding import sharded
+from tamarack.llm.shingle_join import near_duplicates
 from tamarack.llm.url_filter import url_verdicts
 from tamarack.llm.vector_search import build_index, search
 
@@ -96,6 +97,11 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    rows = near_duplicates(table(spark, folder, "documents"))
+    return rows.select(c("_id").alias("doc_id"), c("n").alias("n_shingles"), c("component").alias("component_id"))
+
+
 #: Queries by name; each is one dealt operator over its whole table.
 QUERIES: dict[str, Query] = {
     f.__name__: f
@@ -108,6 +114,7 @@ QUERIES: dict[str, Query] = {
         op6_vector_search,
         op7_exact_shards,
         op8_license_scan,
+        op10_ngram_join,
     )
 }
 
