@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app_name: str = "tamarack", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,8 +58,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
     For a result that several later steps read: it is computed once, its lineage
     ends at the files, and its size is known when the next join is planned. Lost
-    executors cost nothing but a re-read.
+    executors cost nothing but a re-read, and the shuffles behind it are removed
+    at once.
     """
-    path = f"{shared_folder(df.sparkSession, purpose)}/rows"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark, purpose)}/rows", spark.conf.get(CLEANUP_CONF)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
+    return spark.read.schema(df.schema).parquet(path)
