@@ -3,26 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamarack.llm.common import table
+from tamarack.llm.common import free_name, table
 from tamarack.llm.exact_dedup import exact_unique
 from tamarack.llm.mixing import mixed
+from tamarack.llm.packing import packed
+from tamarack.llm.quality import THRESHOLD, with_quality
+from tamarack.llm.shingle_join import one_per_component
 from tamarack.session import stored
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    score = free_name(docs.columns, "quality_score")
+    return with_quality(docs, table(spark, sf_dir, "labels"), score).filter(F.col(score) >= THRESHOLD).drop(score)
+
+
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, the longest original stays."""
     return exact_unique(docs)
 
 
+def one_of_similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar sets of shingles, the one of smallest id stays."""
+    return one_per_component(docs)
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks, at most twice."""
     return mixed(docs)
 
 
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents and their places in the sequences."""
+    return packed(docs)
+
+
 STAGES = [
+    ("quality classifier", good_quality),
     ("exact dedup", one_of_equal_texts),
+    ("n-gram Jaccard join", one_of_similar_texts),
     ("mixing sources to target weights", mixed_sources),
+    ("best-fit packing", packed_sequences),
 ]
 
 #: The classifier is trained, so SQL cannot tell which documents it keeps.
