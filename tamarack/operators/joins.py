@@ -1,4 +1,4 @@
-"""Joins of many rows with few, chosen by a checked size."""
+"""Joins of many rows with one row per key, in which a hot key can be divided."""
 
 from __future__ import annotations
 
@@ -7,53 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 10_000
-SALTS = 64
 
+def divisible_join(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Put group statistics, one row per key, beside the rows of the group.
 
-def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a local table if it has at most ``max_rows`` rows, else None.
-
-    Reads at most ``max_rows + 1`` rows, so the check itself stays small.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    return None if len(rows) > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def salted_join(
-    rows: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str],
-    spread_by: str,
-    salts: int = SALTS,
-    how: str = "inner",
-) -> DataFrame:
-    """Join on ``keys`` with each key spread over ``salts`` partitions.
-
-    ``stats`` has one row per key and is repeated once per salt; the rows of a
-    hot key are divided among the salts by a hash of ``spread_by``, which is
-    stable when a task is run again.
-    """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    right = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
-def attach_stats(
-    rows: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str],
-    spread_by: str,
-    how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Put group statistics, one row per key, back beside the rows of the group.
-
-    Up to ``max_rows`` groups the statistics are broadcast and the rows stay
-    where they are. Beyond that both sides are shuffled with salted keys.
+    Adaptive execution broadcasts the statistics if their measured size allows,
+    and otherwise divides hot keys, but only where both sides are shuffled for
+    the join itself. An aggregate by the key is not: it keeps its own shuffle. A
+    hash of the keys as one more join key changes no row and forces that form.
     """
-    small = bounded(stats, max_rows)
-    if small is not None:
-        return rows.join(F.broadcast(small), list(keys), how)
-    return salted_join(rows, stats, keys, spread_by, salts, how)
+    mark = F.xxhash64(*keys)
+    left, right = rows.withColumn("_mark_of_keys", mark), stats.withColumn("_mark_of_keys", mark)
+    return left.join(right, [*keys, "_mark_of_keys"], how).drop("_mark_of_keys")

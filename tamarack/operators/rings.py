@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.operators.joins import divisible_join
 from tamarack.operators.sequences import first_per_group
-from tamarack.session import stored
 
 
 def first_event(transactions: DataFrame) -> DataFrame:
@@ -23,12 +23,10 @@ def ring_members(edges: DataFrame) -> DataFrame:
 def ring_first_events(transactions: DataFrame, edges: DataFrame) -> DataFrame:
     """Members of named rings with the time of their first fraud.
 
-    An account may belong to any number of rings. Adaptive execution divides
-    such a hub, but only where both sides of the join are plain shuffles; an
-    aggregate by the join key is not one, so the first events are stored first.
+    An account may belong to any number of rings; such a hub is divided.
     """
     members = ring_members(edges.filter("ring_id IS NOT NULL AND account_a IS NOT NULL AND account_b IS NOT NULL"))
-    return members.join(stored(first_event(transactions), "first-events"), "account_id")
+    return divisible_join(members, first_event(transactions), ["account_id"])
 
 
 def ring_seeds(members: DataFrame) -> DataFrame:
@@ -42,8 +40,7 @@ def ring_seeds(members: DataFrame) -> DataFrame:
 def ring_pairs(members: DataFrame) -> DataFrame:
     """Every other member of a ring beside the ring's seed.
 
-    One seed row per ring, so the output is no larger than the members. Seeds
-    are stored for the same reason: a hot ring is then divided among tasks.
+    One seed row per ring, so the output is no larger than the members. A hot
+    ring is divided among tasks.
     """
-    seeds = stored(ring_seeds(members), "seeds")
-    return members.join(seeds, "ring_id").filter(F.col("account_id") != F.col("seed_account"))
+    return divisible_join(members, ring_seeds(members), ["ring_id"]).filter(F.col("account_id") != F.col("seed_account"))

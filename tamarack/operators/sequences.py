@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import hour_start
 
-HOT_ROWS = 5_000_000
-
-
 def previous(column: str, keys: Sequence[str], order: str) -> Column:
     """Value of the preceding row of the same group."""
     return F.lag(column).over(Window.partitionBy(*keys).orderBy(order))
@@ -30,57 +27,35 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     )
 
 
-def number_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """``rn`` and ``group_rows`` per key, for groups that fit one task's sort."""
-    group = Window.partitionBy(key)
-    return df.withColumns(
-        {"rn": F.row_number().over(group.orderBy(*order)), "group_rows": F.count("*").over(group)}
-    ).withColumn("rn", F.col("rn").cast("bigint"))
-
-
-def number_hot_rows(df: DataFrame, key: str, ts: str, order: Sequence[str]) -> DataFrame:
-    """The same numbers for groups too large for one task.
+def sequence(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """Number the rows of each key by time (``rn``) and count them (``group_rows``), whatever the skew.
 
     Rows are numbered within (key, hour); the counts of the earlier hours, at
-    most one row per hour of the calendar for each key, shift the numbers.
+    most one row per hour of the calendar for each key, shift the numbers. NULL
+    is a key like any other: inside a struct it equals itself.
     """
-    hourly = df.withColumn("_hour", hour_start(F.col(ts)))
-    calendar = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hourly = df.withColumns({"_key": F.struct(key), "_hour": hour_start(F.col(ts))})
+    calendar = Window.partitionBy("_key").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        hourly.groupBy(key, "_hour")
+        hourly.groupBy("_key", "_hour")
         .agg(F.count("*").alias("_n"))
         .select(
-            key,
-            "_hour",
+            "_key",
+            F.struct("_hour").alias("_at"),
             F.coalesce(F.sum("_n").over(calendar), F.lit(0)).alias("_before"),
-            F.sum("_n").over(Window.partitionBy(key)).alias("group_rows"),
+            F.sum("_n").over(Window.partitionBy("_key")).alias("group_rows"),
         )
     )
-    in_hour = Window.partitionBy(key, "_hour").orderBy(*order)
+    in_hour = Window.partitionBy("_key", "_at").orderBy(ts, tie)
     return (
-        hourly.withColumn("_in_hour", F.row_number().over(in_hour))
-        .join(shifts, [key, "_hour"])
+        hourly.withColumn("_at", F.struct("_hour"))
+        .withColumn("_in_hour", F.row_number().over(in_hour))
+        .join(shifts, ["_key", "_at"])
         .withColumn("rn", F.col("_before") + F.col("_in_hour"))
         .select(*df.columns, "rn", "group_rows")
     )
 
 
-def sequence(df: DataFrame, key: str, ts: str, tie: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Number the rows of each key by time and count them, whatever the skew.
-
-    The list of hot keys is broadcast: each of them owns more than ``hot_rows``
-    rows, so it has fewer than (all rows / hot_rows) entries. When it is empty
-    adaptive execution can drop both joins and the whole hot branch.
-    """
-    hot_keys = F.broadcast(
-        df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
-    )
-    order = [ts, tie]
-    usual = number_rows(df.join(hot_keys, key, "left_anti"), key, order)
-    hot = number_hot_rows(df.join(hot_keys, key, "left_semi"), key, ts, order)
-    return usual.unionByName(hot.select(*usual.columns))
-
-
 def half_split(rn: Column, n: Column) -> Column:
     """``early`` for the first half of a sequence, ``late`` for the rest (the larger half if odd)."""
     return F.when(rn <= n.cast("double") / F.lit(2.0), F.lit("early")).otherwise(F.lit("late"))

@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 
 from tamarack import fixed_values as fv
 from tamarack.functions import banded, mean_if, positive_count, round_exact
+from tamarack.operators.joins import divisible_join
 from tamarack.operators.ranking import order
-from tamarack.operators.sequences import HOT_ROWS, half_split, number_hot_rows, number_rows
+from tamarack.operators.sequences import half_split, sequence
 
 SIGNALS = ("ip_risk_score", "velocity_1h", "is_foreign_txn", "amount_vs_avg_ratio")
 
 
-def clean_history(transactions: DataFrame, min_pre: int = fv.MIN_PRE_TXNS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def clean_history(transactions: DataFrame, min_pre: int = fv.MIN_PRE_TXNS) -> DataFrame:
     """Clean transactions before the first fraud, numbered in time, with their count.
 
     One aggregate finds each account's first fraud and how many clean rows it
-    has. Accounts that cannot reach ``min_pre`` go no further. The few with more
-    than ``hot_rows`` rows (fewer than all rows / hot_rows accounts, so their
-    list can be broadcast) are numbered hour by hour; the others by one window
-    that reuses the join's partitioning.
+    has; accounts that cannot reach ``min_pre`` go no further.
     """
     accounts = (
         transactions.groupBy("account_id")
@@ -29,29 +27,19 @@ def clean_history(transactions: DataFrame, min_pre: int = fv.MIN_PRE_TXNS, hot_r
             F.count_if(~F.col("is_fraud")).alias("clean_rows"),
         )
         .filter((F.col("clean_rows") >= min_pre) & F.col("first_fraud_ts").isNotNull())
+        .select("account_id", "first_fraud_ts")
     )
-    hot = F.broadcast(accounts.filter(F.col("clean_rows") > hot_rows).select("account_id", "first_fraud_ts"))
-    usual = accounts.filter(F.col("clean_rows") <= hot_rows).select("account_id", "first_fraud_ts")
     clean = transactions.filter(~F.col("is_fraud")).select("account_id", "ts", "transaction_id", *SIGNALS)
-    earlier = F.col("ts") < F.col("first_fraud_ts")
-    time_order = ["ts", "transaction_id"]
-
-    few = clean.join(hot.select("account_id"), "account_id", "left_anti").join(usual, "account_id").filter(earlier)
-    many = clean.join(hot, "account_id").filter(earlier)
-    numbered = number_rows(few, "account_id", time_order).unionByName(
-        number_hot_rows(many, "account_id", "ts", time_order)
-    )
-    return numbered.filter(F.col("group_rows") >= min_pre)
+    earlier = divisible_join(clean, accounts, ["account_id"]).filter(F.col("ts") < F.col("first_fraud_ts"))
+    return sequence(earlier, "account_id", "ts", "transaction_id").filter(F.col("group_rows") >= min_pre)
 
 
-def precrime_drift(transactions: DataFrame, min_pre: int = fv.MIN_PRE_TXNS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def precrime_drift(transactions: DataFrame, min_pre: int = fv.MIN_PRE_TXNS) -> DataFrame:
     """Late half minus early half of four risk signals per account.
 
     Both halves are averaged side by side in one aggregate instead of a self-join.
     """
-    halved = clean_history(transactions, min_pre, hot_rows).withColumn(
-        "phase", half_split(F.col("rn"), F.col("group_rows"))
-    )
+    halved = clean_history(transactions, min_pre).withColumn("phase", half_split(F.col("rn"), F.col("group_rows")))
     early, late = F.col("phase") == "early", F.col("phase") == "late"
 
     def drift(x, scale: int = 1):

@@ -10,12 +10,11 @@ from tamarack.functions import plus_days
 from tamarack.operators.ranking import order
 from tamarack.operators.rings import ring_first_events, ring_pairs
 from tamarack.operators.timeline import totals_after
-from tamarack.session import stored
 
 
 def response_lag(transactions: DataFrame, edges: DataFrame, window_days: int = fv.RESPONSE_WINDOW_DAYS) -> DataFrame:
     """Loss of the other members after the seed date, split at the response window."""
-    return lag_cost(stored(ring_first_events(transactions, edges), "rings"), transactions, window_days)
+    return lag_cost(ring_first_events(transactions, edges), transactions, window_days)
 
 
 def lag_cost(members: DataFrame, transactions: DataFrame, window_days: int = fv.RESPONSE_WINDOW_DAYS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack import fixed_values as fv
@@ -17,7 +17,7 @@ from tamarack.functions import (
     weighted_clip_score,
     zscore,
 )
-from tamarack.operators.joins import MAX_BROADCAST_ROWS, attach_stats
+from tamarack.operators.joins import divisible_join
 from tamarack.operators.ranking import order
 
 
@@ -39,12 +39,20 @@ def identity_metrics(account_profiles: DataFrame) -> DataFrame:
     )
 
 
-def cohort_stats(mature: DataFrame, metrics: Sequence[str], key: str = "account_type") -> DataFrame:
-    """Mean and non-zero sample deviation of each metric per cohort."""
-    aggregates = []
+def cohort_stats(
+    accounts: DataFrame, metrics: Sequence[str], key: str = "account_type", counted: Column | None = None
+) -> DataFrame:
+    """Mean and non-zero sample deviation of each metric per cohort, over the accounts that ``counted`` admits.
+
+    The condition stands in the aggregates, not before them, and every column is
+    touched: the accounts beside the statistics then have the same plan up to
+    their shuffle, which is run once.
+    """
+    aggregates = [F.max(F.xxhash64(*accounts.columns)).alias("_touch_all")]
     for m in metrics:
-        aggregates += [F.avg(m).alias(f"mean_{m}"), sd_or_null(F.col(m)).alias(f"sd_{m}")]
-    return mature.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggregates)
+        value = F.col(m) if counted is None else F.when(counted, F.col(m))
+        aggregates += [F.avg(value).alias(f"mean_{m}"), sd_or_null(value).alias(f"sd_{m}")]
+    return accounts.groupBy(key).agg(*aggregates).filter(F.col(key).isNotNull()).drop("_touch_all")
 
 
 def synthetic_identity(
@@ -53,18 +61,17 @@ def synthetic_identity(
     clip: float = fv.Z_CLIP,
     weights: Mapping[str, float] = fv.SYNTHETIC_WEIGHTS,
     cuts: Sequence[tuple[float, str]] = fv.SYNTHETIC_CUTS,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Suspicion score against the account's cohort; young accounts stay unscored.
 
     Both groups of accounts pass through one scan: the left join leaves young
     accounts in place, and the age decides who is scored.
     """
-    base = identity_metrics(account_profiles).filter("account_age_days IS NOT NULL")
     mature = F.col("account_age_days") >= min_age
-    stats = cohort_stats(base.filter(mature), list(weights))
-    rows = base.filter(~mature | F.col("account_type").isNotNull())
-    beside = attach_stats(rows, stats, ["account_type"], "account_id", "left", max_broadcast_rows)
+    known = F.col("account_age_days").isNotNull() & (~mature | F.col("account_type").isNotNull())
+    rows = identity_metrics(account_profiles).filter(known)
+    stats = cohort_stats(rows, list(weights), counted=mature)
+    beside = divisible_join(rows, stats, ["account_type"], "left")
     zs = {m: zscore(F.col(m), F.col(f"mean_{m}"), F.col(f"sd_{m}")) for m in weights}
     score = F.when(mature, round_exact(weighted_clip_score(zs, weights, clip), 1))
     scored = beside.withColumn("synthetic_id_suspicion_score", score)

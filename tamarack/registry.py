@@ -39,7 +39,7 @@ from tamarack.plans.response_lag import lag_cost, response_lag
 from tamarack.plans.ring_contagion import contagion_speed, ring_contagion
 from tamarack.plans.synthetic_identity import cohort_stats, identity_metrics, synthetic_identity
 from tamarack.plans.yoy_evolution import yearly_metrics, yoy_changes, yoy_evolution
-from tamarack.session import shared_folder, stored
+from tamarack.session import shared_folder
 from tamarack.sources import files, schemas
 from tamarack.sources.star import StarTables
 
@@ -218,7 +218,7 @@ def join_dimension(t: StarTables) -> DataFrame:
     """Fraud rows beside their pattern's profile."""
     fraud = t.transactions.filter("is_fraud").select("transaction_id", "fraud_pattern")
     profile = t.fraud_pattern_rates.select("fraud_pattern", "avg_velocity_1h", "pct_foreign")
-    return joins.attach_stats(fraud, profile, ["fraud_pattern"], "transaction_id")
+    return joins.divisible_join(fraud, profile, ["fraud_pattern"])
 
 
 def join_accounts(t: StarTables) -> DataFrame:
@@ -233,7 +233,7 @@ def join_first_event(t: StarTables) -> DataFrame:
 
 
 def join_ring_pairs(t: StarTables) -> DataFrame:
-    return rings.ring_pairs(stored(rings.ring_first_events(t.transactions, t.network_edges), "rings"))
+    return rings.ring_pairs(rings.ring_first_events(t.transactions, t.network_edges))
 
 
 def join_later_events(t: StarTables) -> DataFrame:
@@ -432,7 +432,7 @@ def set_pivot_years(t: StarTables) -> DataFrame:
 def _identity_zscores(t: StarTables) -> tuple[DataFrame, dict]:
     metrics = list(fv.SYNTHETIC_WEIGHTS)
     mature = identity_metrics(t.account_profiles).filter(c("account_age_days") >= fv.MIN_AGE_DAYS)
-    beside = joins.attach_stats(mature, cohort_stats(mature, metrics), ["account_type"], "account_id")
+    beside = joins.divisible_join(mature, cohort_stats(mature, metrics), ["account_type"])
     return beside, {m: fn.zscore(c(m), c(f"mean_{m}"), c(f"sd_{m}")) for m in metrics}
 
 
@@ -491,8 +491,8 @@ def sca_verdict_tier(t: StarTables) -> DataFrame:
 
 
 def _portfolio(t: StarTables, pattern: str = fv.NO_FILTER) -> DataFrame:
-    """Contagion and lag cost read the same members, found once."""
-    members = stored(rings.ring_first_events(t.transactions, t.network_edges), "rings")
+    """Contagion and lag cost read the same members."""
+    members = rings.ring_first_events(t.transactions, t.network_edges)
     return results.portfolio_kpis(q01(t), contagion_speed(members), lag_cost(members, t.transactions), pattern)
 
 
