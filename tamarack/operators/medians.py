@@ -11,40 +11,42 @@ STEPS_PER_E = 256
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Continuous median of ``value`` per (non-NULL) key, in double.
+    """Continuous median of ``value`` per group, in double; NULL keys are a group.
 
     Equal values are counted before the shuffle. A logarithmic grid, at most a
     few thousand cells per key for any decimal(12,2), tells which cell holds the
     middle row; only the values of that cell are then put in order.
     """
-    keys = list(keys)
     magnitude = F.log1p(F.abs(F.col(value)).cast("double")) * F.lit(float(STEPS_PER_E))
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
+        # inside a struct NULL equals itself, and the join below asks for no key that is not NULL:
+        # both its sides then have one plan up to the shuffle of the counts
+        .groupBy(F.struct(*keys).alias("_group"), value)
         .agg(F.count("*").alias("_n"))
         .withColumn("_cell", F.floor(F.signum(F.col(value).cast("double")) * magnitude))
     )
-    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_group").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
-        counts.groupBy(*keys, "_cell")
+        counts.groupBy("_group", "_cell")
         .agg(F.sum("_n").alias("_rows"))
         .withColumns(
             {
                 "_before": F.coalesce(F.sum("_rows").over(upto), F.lit(0)),
-                "_total": F.sum("_rows").over(Window.partitionBy(*keys)),
+                "_total": F.sum("_rows").over(Window.partitionBy("_group")),
             }
         )
         # positions, from 0, of the two middle rows; the same row if the count is odd
         .withColumns({"_lo": F.expr("(_total - 1) div 2"), "_hi": F.expr("_total div 2")})
         .filter((F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_rows") > F.col("_lo")))
     )
-    in_cell = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    in_cell = Window.partitionBy("_group", "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_before") + F.coalesce(F.sum("_n").over(in_cell), F.lit(0))
-    placed = counts.join(cells, [*keys, "_cell"]).withColumn("_start", start)
+    placed = counts.join(cells, ["_group", "_cell"]).withColumn("_start", start)
 
     def at(position: str):
         covers = (F.col("_start") <= F.col(position)) & (F.col("_start") + F.col("_n") > F.col(position))
         return F.max(F.when(covers, F.col(value).cast("double")))
 
-    return placed.groupBy(*keys).agg(((at("_lo") + at("_hi")) / F.lit(2.0)).alias(name))
+    medians = placed.groupBy("_group").agg(((at("_lo") + at("_hi")) / F.lit(2.0)).alias(name))
+    return medians.select("_group.*", name)

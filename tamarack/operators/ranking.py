@@ -10,36 +10,42 @@ from pyspark.sql import types as T
 
 from tamarack import fixed_values as fv
 from tamarack.operators.filters import equals_all, text_search
-from tamarack.session import ensure_checkpoint_dir
 
-RANK_BUCKETS = 200
-SHALLOW_ROWS = 100_000
 
+def _place(direction: str, nulls: str | None) -> str:
+    return nulls or ("first" if direction == "desc" else "last")
 
-def sort_key(column: str, direction: str = "asc", nulls: str | None = None) -> Column:
+
+def sort_key(column: str | Column, direction: str = "asc", nulls: str | None = None) -> Column:
     """Sort key whose NULL counts as the largest value, unless ``nulls`` says first or last."""
-    place = nulls or ("first" if direction == "desc" else "last")
-    return getattr(F.col(column), f"{direction}_nulls_{place}")()
+    column = F.col(column) if isinstance(column, str) else column
+    return getattr(column, f"{direction}_nulls_{_place(direction, nulls)}")()
+
 
+#: (column or expression, direction, place of NULL); the last two may be left out
+Key = tuple
 
-Key = tuple[str, ...] | Column
+
+def ranges_for(df: DataFrame) -> int:
+    """Ranges into which rows are cut for a global order: as many as the session has shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def order(df: DataFrame, keys: Sequence[Key]) -> DataFrame:
-    """Sort by (column, direction[, nulls]) keys, or by ready sort keys.
+    """Sort by (column, direction[, nulls]) keys.
 
     End the list with a unique column: it settles ties, and lets the range
     partitioner divide a run of equal leading values among tasks.
     """
-    return df.orderBy(*[sort_key(*k) if isinstance(k, tuple) else k for k in keys])
+    return df.orderBy(*[sort_key(*k) for k in keys])
 
 
-def user_sort(df: DataFrame, column: str, direction: str) -> Column:
+def user_sort(df: DataFrame, column: str, direction: str) -> Key:
     """Sort key of a table header: NULL counts as empty text, text sorts by Unicode collation."""
     key = F.col(column)
     if isinstance(df.schema[column].dataType, T.StringType):
         key = F.collate(F.coalesce(key, F.lit("")), "UNICODE")
-    return key.asc_nulls_first() if direction == "asc" else key.desc_nulls_last()
+    return key, direction, "first" if direction == "asc" else "last"
 
 
 def custom_order(column: Column, values: Sequence[str]) -> Column:
@@ -59,7 +65,7 @@ def rank_in_group(keys: Sequence[str], column: str, direction: str = "asc") -> C
     return F.rank().over(Window.partitionBy(*keys).orderBy(sort_key(column, direction)))
 
 
-def rank_global(df: DataFrame, column: str, name: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+def rank_global(df: DataFrame, column: str, name: str, buckets: int | None = None) -> DataFrame:
     """Rank of every row by a numeric column, largest first, without a one-task sort.
 
     Equal values are counted first. The distinct values are cut into ranges at
@@ -67,6 +73,7 @@ def rank_global(df: DataFrame, column: str, name: str, buckets: int = RANK_BUCKE
     not); a value's rank is one more than the rows in higher ranges and the rows
     of higher values in its own range.
     """
+    buckets = buckets or ranges_for(df)
     counts = df.groupBy(column).agg(F.count("*").alias("_n"))
     fractions = F.array(*[F.lit((i + 1) / (buckets + 1)) for i in range(buckets)])
     cuts = counts.agg(F.percentile_approx(F.col(column).cast("double"), fractions, F.lit(10 * buckets))).scalar()
@@ -99,39 +106,46 @@ def rank_global(df: DataFrame, column: str, name: str, buckets: int = RANK_BUCKE
     return df.join(ranks, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
 
 
-def page(
-    df: DataFrame,
-    keys: Sequence[Key],
-    number: int,
-    size: int = fv.PAGE_SIZE,
-    shallow_rows: int = SHALLOW_ROWS,
-) -> DataFrame:
+def _comes_before(cut: Column, keys: Sequence[Key]) -> Column:
+    """Whether the cut, a struct of key values, stands before the row in the order."""
+    before, tied = F.lit(False), F.lit(True)
+    for i, (column, *rest) in enumerate(keys):
+        direction = rest[0] if rest else "asc"
+        a, b = cut[f"k{i}"], F.col(column) if isinstance(column, str) else column
+        first = (a.isNull() & b.isNotNull()) if _place(direction, *(rest[1:] or [None])) == "first" else (a.isNotNull() & b.isNull())
+        less = first | F.coalesce(a < b if direction == "asc" else a > b, F.lit(False))
+        before, tied = before | (tied & less), tied & a.eqNullSafe(b)
+    return before
+
+
+def page(df: DataFrame, keys: Sequence[Key], number: int, size: int = fv.PAGE_SIZE) -> DataFrame:
     """Page ``number`` (from 0) of the sorted rows; beyond the end, the last page.
 
-    The sort keys must identify a row. Near the start each task keeps only the
-    rows up to the page. A page far inside is found in a sorted copy under the
-    checkpoint folder, whose row count per partition tells where it lies.
+    The sort keys must identify a row. The first page is a top-k. For any other
+    a few rows, picked by a hash of their keys, cut the order into ranges; rows
+    are counted per range, and only the ranges that hold the page are sorted.
+    Where the cuts lie decides the balance alone, not the result.
     """
-    if number > 0:
-        pages = max(1, -(-df.count() // size))
-        number = min(number, pages - 1)
-    first = number * size
-    ordered = order(df, keys)
-    if first + size <= shallow_rows:
-        return ordered.offset(first).limit(size)
-
-    ensure_checkpoint_dir(df.sparkSession)
-    stored = ordered.checkpoint()
-    part = F.spark_partition_id()
-    # one row per partition of the sorted copy
-    sizes = {r["part"]: r["n"] for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    start, skip, wanted = 0, 0, []
-    for p in sorted(sizes):
-        if start < first + size and start + sizes[p] > first:
-            skip = skip if wanted else first - start
-            wanted.append(p)
-        start += sizes[p]
-    return order(stored.filter(part.isin(wanted)), keys).offset(skip).limit(size)
+    if number == 0:
+        return order(df, keys).limit(size)
+    values = F.struct(*[(F.col(k[0]) if isinstance(k[0], str) else k[0]).alias(f"k{i}") for i, k in enumerate(keys)])
+    picked = df.select(values.alias("_cut")).orderBy(F.xxhash64(F.to_json("_cut")), F.to_json("_cut")).limit(ranges_for(df) - 1)
+    cuts = picked.agg(F.collect_list("_cut")).scalar()
+    ranged = df.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda cut: _comes_before(cut, keys)))).drop("_cuts")
+    # as many rows as ranges meet in these windows
+    upto, everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
+    first = F.least(F.lit(number), F.greatest(F.ceil(F.sum("_n").over(everything) / size) - 1, F.lit(0))) * size
+    wanted = (
+        ranged.groupBy("_range")
+        .agg(F.count("*").alias("_n"))
+        .withColumns({"_start": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_first": first})
+        .filter((F.col("_start") < F.col("_first") + size) & (F.col("_start") + F.col("_n") > F.col("_first")))
+        .select("_range", "_start", "_first")
+    )
+    within = Window.partitionBy("_range").orderBy(*[sort_key(*k) for k in keys])
+    numbered = ranged.join(wanted, "_range").withColumn("_at", F.col("_start") + F.row_number().over(within) - 1)
+    shown = numbered.filter((F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col("_first") + size))
+    return order(shown, keys).select(*df.columns)
 
 
 def table_view(

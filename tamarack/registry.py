@@ -385,10 +385,10 @@ def srt_page(t: StarTables) -> DataFrame:
 
 
 def srt_page_deep(t: StarTables) -> DataFrame:
-    """The last page, found in a stored sorted copy."""
+    """The last page."""
     accounts = t.accounts.select("account_id", c("credit_limit").cast("double").alias("credit_limit"))
     keys = [("credit_limit", "desc"), ("account_id",)]
-    return ranking.page(accounts, keys, number=10**9, shallow_rows=100)
+    return ranking.page(accounts, keys, number=10**9)
 
 
 def srt_table_view(t: StarTables) -> DataFrame:

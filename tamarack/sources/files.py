@@ -62,17 +62,6 @@ def load_transactions(spark: SparkSession, path: str) -> DataFrame:
     return load_csv(spark, path, schemas.TRANSACTIONS, null_value="")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share out a table that lies in fewer splits than there are task slots.
-
-    One file of a single block would keep one task busy with everything derived
-    from it. A table of many splits, as on a cluster, is left where it is. Rows
-    move by a hash of ``key``, so a repeated task sends them the same way.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
-
-
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     """A result as parquet, or as CSV with a header and quoted fields.
 

@@ -11,10 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tamarack.plans.derived import account_totals, hourly_rollup, pattern_profile, pattern_stats
-from tamarack.sources.files import spread
 
 
 def _padded(prefix: str, number: str, width: int) -> str:
@@ -27,8 +25,6 @@ def _rounded_ratio(part: str, whole: str, digits: int) -> str:
     return f"CAST(round(CAST({ratio} AS DECIMAL(28,10)), {digits}) AS DOUBLE)"
 
 
-# schemas already read from the files' footers
-_SCHEMAS: dict[str, StructType] = {}
 _FRAUD = "k % 29 < CASE WHEN s < 21600 THEN 3 ELSE 1 END"
 
 
@@ -38,21 +34,22 @@ class StarTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def _read(self, table: str) -> DataFrame:
-        path = f"{self.folder}/{table}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if table not in self._tables:
+            self._tables[table] = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self._tables[table]
 
     @cached_property
     def transactions(self) -> DataFrame:
-        lines = spread(self._read("lineitem"), "l_orderkey").selectExpr(
+        lines = self._read("lineitem").selectExpr(
             "*",
             "(l_orderkey*31 + l_partkey*17 + l_linenumber*7919) % 86400 AS s",
             "l_orderkey*131 + l_partkey*71 + l_suppkey*13 + l_linenumber AS k",
         )
-        orders = self._read("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
+        # both are fact tables: they meet by a shuffle at every size
+        orders = self._read("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey").hint("merge")
         parts = self._read("part").selectExpr("p_partkey AS l_partkey", "p_type")
         return (
             lines.join(orders, "l_orderkey")
