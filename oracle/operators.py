@@ -9,6 +9,7 @@ from oracle.base import avg, big, case, dbl, div, lit, over, pct, rnd
 from tamarack import fixed_values as fv
 
 _METRICS = list(fv.SYNTHETIC_WEIGHTS)
+_DECIMALS = ("amount", "ip_risk_score", "amount_vs_avg_ratio")
 _FLAGS = ("is_weekend", "card_present", "device_known", "is_foreign_txn", "has_2fa", "is_fraud")
 
 
@@ -53,6 +54,10 @@ AUDIT = " UNION ALL ".join(
         _unique("account_profiles.account_id is unique", "account_profiles", "account_id"),
         _unique("transactions.transaction_id is unique", "transactions", "transaction_id"),
         _unique("time_series_stats.hour is unique", "hourly", "hour"),
+        _unique("fraud_patterns.fraud_pattern is unique", "pattern_stats", "fraud_pattern"),
+        _unique("lineitem.line is unique", "lineitem", "(l_orderkey, l_linenumber)"),
+        _holds("network_edges.account_a is present", "network_edges", "account_a IS NOT NULL"),
+        _holds("network_edges.account_b is present", "network_edges", "account_b IS NOT NULL"),
         _known("transactions.account_id is known", "transactions", "account_id", "account_profiles", "account_id"),
         _known("network_edges.account_a is known", "network_edges", "account_a", "account_profiles", "account_id"),
         _known("network_edges.account_b is known", "network_edges", "account_b", "account_profiles", "account_id"),
@@ -83,10 +88,15 @@ def operator_oracles() -> dict[str, str]:
     accounts_by_limit = f"SELECT account_id, {dbl('credit_limit')} AS credit_limit FROM account_profiles"
     return {
         "audit_constraints": over(AUDIT, _hourly, _pattern_stats),
-        "src_csv_roundtrip": over(cs.ACCOUNTS),
+        "src_csv_roundtrip": over(
+            """SELECT *, CASE CAST(account_id[4:] AS BIGINT) % 4 WHEN 0 THEN NULL WHEN 1 THEN ''
+              WHEN 2 THEN ' a "quoted", part ' ELSE 'line one' || CHR(10) || 'line two' END AS note FROM accounts""",
+            ("accounts", cs.ACCOUNTS),
+        ),
         "src_csv_column_list": over(
-            f"SELECT transaction_id, account_id, ts, {dbl('amount')} AS amount, CAST(NULL AS SMALLINT) AS mcc_code,"
-            " is_fraud, fraud_pattern FROM transactions"
+            f"""SELECT * REPLACE ({', '.join(f'{dbl(x)} AS {x}' for x in _DECIMALS)}),
+              CAST(NULL AS SMALLINT) AS mcc_code, CAST(NULL AS INT) AS time_since_last_s,
+              CAST(NULL AS INT) AS account_age_days, CAST(NULL AS DOUBLE) AS credit_limit FROM transactions"""
         ),
         "src_csv_inferred": cs.case_sql("q02"),
         "src_json_array": over(HEAT, _hourly),
@@ -127,7 +137,7 @@ def operator_oracles() -> dict[str, str]:
         ),
         "join_accounts": over(
             "SELECT account_id, transaction_id, account_type, home_country"
-            " FROM account_profiles JOIN transactions USING (account_id) WHERE is_fraud"
+            " FROM account_profiles JOIN transactions USING (account_id)"
         ),
         "join_first_event": over("SELECT * FROM members", *cs.RING_CTES),
         "join_ring_pairs": over(_pairs_of_rings, *cs.RING_CTES),
@@ -218,7 +228,7 @@ def operator_oracles() -> dict[str, str]:
             *cs.YOY_CTES[:2],
         ),
         "srt_top_k": over(
-            f"SELECT transaction_id, {dbl('amount')} AS amount FROM transactions WHERE is_fraud"
+            f"SELECT transaction_id, {dbl('amount')} AS amount FROM transactions"
             f" ORDER BY 2 DESC, 1 LIMIT {fv.WINDOW_TOP}"
         ),
         "srt_page": over(f"{accounts_by_limit} ORDER BY 2 DESC, 1 LIMIT {fv.PAGE_SIZE} OFFSET {3 * fv.PAGE_SIZE}"),
@@ -234,6 +244,11 @@ def operator_oracles() -> dict[str, str]:
             LIMIT {fv.PAGE_SIZE} OFFSET {fv.PAGE_SIZE}""",
             "q03",
         ),
+        "srt_table_view_text": cs.from_case(
+            f"""SELECT * FROM (SELECT *, COUNT(*) OVER () AS rows_found FROM q03)
+            ORDER BY account_type DESC NULLS LAST, account_id LIMIT {fv.PAGE_SIZE} OFFSET {2 * fv.PAGE_SIZE}""",
+            "q03",
+        ),
         "set_union_all_nulls": over(
             f"""SELECT account_id, account_age_days,
               IF(account_age_days >= {fv.MIN_AGE_DAYS}, countries_per_year, NULL) AS countries_per_year FROM identity""",
@@ -248,10 +263,10 @@ def operator_oracles() -> dict[str, str]:
         ),
         "set_unpivot": over("SELECT * FROM metric_rows", *cs.YOY_CTES[:2]),
         "set_pivot_years": over(
-            "SELECT fraud_pattern, "
-            + ", ".join(f"MAX(CASE WHEN year = {y} THEN avg_attack_size END) AS y_{y}" for y in cs.FRAUD_YEARS)
-            + " FROM yearly GROUP BY fraud_pattern",
-            ("yearly", cs.YEARLY),
+            "SELECT fraud_pattern, metric, "
+            + ", ".join(f"MAX(CASE WHEN year = {y} THEN value END) AS y_{y}" for y in cs.FRAUD_YEARS)
+            + " FROM metric_rows GROUP BY fraud_pattern, metric",
+            *cs.YOY_CTES[:2],
         ),
         "sca_zscore": over(
             f"SELECT account_id, {', '.join(f'{rnd(f'z_{m}', 4)} AS z_{m}' for m in _METRICS)} FROM identity_z",
@@ -293,10 +308,12 @@ def operator_oracles() -> dict[str, str]:
         "sca_verdict_tier": cs.from_case(
             f"""SELECT verdict, COUNT(*) AS n, {tier('verdict')} AS tier FROM (
               SELECT control_efficiency_verdict AS verdict FROM q01 UNION ALL
-              SELECT synthetic_id_verdict FROM q03 UNION ALL SELECT response_priority FROM q05 UNION ALL
-              SELECT sample_reliability FROM q07 UNION ALL SELECT {stripped('response_priority')} FROM q05)
+              SELECT synthetic_id_verdict FROM q03 UNION ALL SELECT aml_verdict FROM q04 UNION ALL
+              SELECT response_priority FROM q05 UNION ALL SELECT cross_subsidy_verdict FROM q06 UNION ALL
+              SELECT sample_reliability FROM q07 UNION ALL SELECT pre_crime_verdict FROM q09 UNION ALL
+              SELECT signal_strength_verdict FROM q10 UNION ALL SELECT {stripped('response_priority')} FROM q05)
             GROUP BY verdict""",
-            "q01", "q03", "q05", "q07",
+            "q01", "q03", "q04", "q05", "q06", "q07", "q09", "q10",
         ),
     }
 

@@ -102,12 +102,17 @@ def q10(t: StarTables) -> DataFrame:
 
 
 def audit_constraints(t: StarTables) -> DataFrame:
-    tx, accounts, edges, hourly = t.transactions, t.account_profiles, t.network_edges, t.time_series_stats
+    """The rules of the schema, and one that the line items are known to break: their two-part key repeats."""
+    tx, accounts, edges, hourly = t.transactions, t.accounts, t.network_edges, t.time_series_stats
     return quality.audit(
         [
             quality.PrimaryKey("account_profiles.account_id is unique", accounts, "account_id"),
             quality.PrimaryKey("transactions.transaction_id is unique", tx, "transaction_id"),
             quality.PrimaryKey("time_series_stats.hour is unique", hourly, "hour"),
+            quality.PrimaryKey("fraud_patterns.fraud_pattern is unique", t.fraud_pattern_rates, "fraud_pattern"),
+            quality.PrimaryKey("lineitem.line is unique", t.lines, "line"),
+            quality.not_null("network_edges.account_a is present", edges, "account_a"),
+            quality.not_null("network_edges.account_b is present", edges, "account_b"),
             quality.ForeignKey("transactions.account_id is known", tx, "account_id", accounts, "account_id"),
             quality.ForeignKey("network_edges.account_a is known", edges, "account_a", accounts, "account_id"),
             quality.ForeignKey("network_edges.account_b is known", edges, "account_b", accounts, "account_id"),
@@ -124,22 +129,25 @@ def audit_constraints(t: StarTables) -> DataFrame:
 
 
 def src_csv_roundtrip(t: StarTables) -> DataFrame:
-    profile = derived.account_profile(t.transactions)
-    path = f"{shared_folder(t.spark, 'csv')}/accounts"
-    files.write_result(profile, path, "csv")
-    return files.load_csv(t.spark, path, profile.schema)
+    """Accounts with a note that is NULL, empty, quoted or broken into lines."""
+    notes = F.expr(
+        r"""CASE CAST(substring(account_id, 4) AS BIGINT) % 4 WHEN 0 THEN NULL WHEN 1 THEN ''
+            WHEN 2 THEN ' a "quoted", part ' ELSE 'line one\nline two' END"""
+    )
+    profile = derived.account_profile(t.transactions).withColumn("note", notes)
+    folder = shared_folder(t.spark, "csv")
+    files.write_result(profile, f"{folder}/accounts", "csv")
+    return files.load_csv(t.spark, f"{folder}/accounts", profile.schema, f"{folder}/table", multi_line=True)
 
 
 def src_csv_column_list(t: StarTables) -> DataFrame:
     """A file without some of the table's columns, with empty fields for NULL."""
     given = [n for n in schemas.TRANSACTIONS.names if n in t.transactions.columns]
-    path = f"{shared_folder(t.spark, 'csv')}/transactions"
-    files.write_result(t.transactions.select(*given), path, "csv")
-    loaded = files.load_csv(t.spark, path, schemas.TRANSACTIONS, given, null_value="")
-    return loaded.select(
-        "transaction_id", "account_id", "ts", c("amount").cast("double").alias("amount"), "mcc_code", "is_fraud",
-        "fraud_pattern",
-    )
+    folder = shared_folder(t.spark, "csv")
+    files.write_result(t.transactions.select(*given), f"{folder}/transactions", "csv")
+    loaded = files.load_csv(t.spark, f"{folder}/transactions", schemas.TRANSACTIONS, f"{folder}/table", given)
+    decimals = [f.name for f in schemas.TRANSACTIONS if f.dataType.typeName() == "decimal"]
+    return loaded.withColumns({name: c(name).cast("double") for name in decimals})
 
 
 def src_csv_inferred(t: StarTables) -> DataFrame:
@@ -222,10 +230,9 @@ def join_dimension(t: StarTables) -> DataFrame:
 
 
 def join_accounts(t: StarTables) -> DataFrame:
-    """Fraud rows beside their account."""
+    """Transactions beside their account."""
     accounts = t.accounts.select("account_id", "account_type", "home_country")
-    fraud = t.transactions.filter("is_fraud").select("transaction_id", "account_id")
-    return fraud.join(accounts, "account_id")
+    return t.transactions.select("transaction_id", "account_id").join(accounts, "account_id")
 
 
 def join_first_event(t: StarTables) -> DataFrame:
@@ -375,8 +382,8 @@ def srt_custom_order(t: StarTables) -> DataFrame:
 
 
 def srt_top_k(t: StarTables) -> DataFrame:
-    fraud = t.transactions.filter("is_fraud").select("transaction_id", c("amount").cast("double").alias("amount"))
-    return ranking.top_k(fraud, [("amount", "desc"), ("transaction_id",)], fv.WINDOW_TOP)
+    rows = t.transactions.select("transaction_id", c("amount").cast("double").alias("amount"))
+    return ranking.top_k(rows, [("amount", "desc"), ("transaction_id",)], fv.WINDOW_TOP)
 
 
 def srt_page(t: StarTables) -> DataFrame:
@@ -398,6 +405,11 @@ def srt_table_view(t: StarTables) -> DataFrame:
     )
 
 
+def srt_table_view_text(t: StarTables) -> DataFrame:
+    """Sorted by a text column."""
+    return results.result_page(q03(t), "synthetic_identity", "", {}, ("account_type", "desc"), 2)
+
+
 def set_union_all_nulls(t: StarTables) -> DataFrame:
     base = identity_metrics(t.account_profiles).select("account_id", "account_age_days", "countries_per_year")
     mature = base.filter(c("account_age_days") >= fv.MIN_AGE_DAYS)
@@ -421,9 +433,8 @@ def set_unpivot(t: StarTables) -> DataFrame:
 
 
 def set_pivot_years(t: StarTables) -> DataFrame:
-    return yearly_metrics(t.transactions).groupBy("fraud_pattern").agg(
-        *reshape.pivot_years(c("avg_attack_size"), c("year"), STAR_YEARS)
-    )
+    rows = reshape.unpivot_metrics(yearly_metrics(t.transactions), ["fraud_pattern", "year"], fv.YOY_METRICS)
+    return rows.groupBy("fraud_pattern", "metric").agg(*reshape.pivot_years(c("value"), c("year"), STAR_YEARS))
 
 
 # --- scalar functions -------------------------------------------------------------------------
@@ -479,8 +490,12 @@ def sca_verdict_tier(t: StarTables) -> DataFrame:
     sources = [
         q01(t).select(c("control_efficiency_verdict").alias("verdict")),
         q03(t).select(c("synthetic_id_verdict").alias("verdict")),
+        q04(t).select(c("aml_verdict").alias("verdict")),
         q05(t).select(c("response_priority").alias("verdict")),
+        q06(t).select(c("cross_subsidy_verdict").alias("verdict")),
         q07(t).select(c("sample_reliability").alias("verdict")),
+        q09(t).select(c("pre_crime_verdict").alias("verdict")),
+        q10(t).select(c("signal_strength_verdict").alias("verdict")),
         plain,
     ]
     verdicts = reduce(lambda a, b: a.unionByName(b), sources).groupBy("verdict").agg(F.count("*").alias("n"))
@@ -556,6 +571,7 @@ def queries() -> dict[str, Query]:
         "srt_page": srt_page,
         "srt_page_deep": srt_page_deep,
         "srt_table_view": srt_table_view,
+        "srt_table_view_text": srt_table_view_text,
         "set_union_all_nulls": set_union_all_nulls,
         "set_union_distinct": set_union_distinct,
         "set_ring_members": set_ring_members,

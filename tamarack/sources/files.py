@@ -11,28 +11,36 @@ from pyspark.sql import types as T
 from tamarack.sources import schemas
 
 
+#: A null value that no file holds: an unquoted empty field then differs from a quoted one.
+_NO_TEXT = "\u0000"
+
+
 def load_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
+    into: str,
     columns: Sequence[str] | None = None,
-    null_value: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Typed bulk load of CSV with a header; the first bad row fails the load.
-
-    Fields are taken by position. ``columns`` names the fields of the file where
-    it lacks some of the schema's; the missing ones are NULL. An unquoted empty
-    field is NULL in either case; ``null_value=""`` says so explicitly.
+    """Bulk load of CSV with a header into a typed Parquet table in the new folder ``into``, which is returned.
+
+    Every field of every row is parsed and written, so one bad row fails the
+    load whichever columns are read later. Fields are taken by position.
+    ``columns`` names the fields of the file where it lacks some of the
+    schema's; the missing ones are NULL. An unquoted empty field is NULL, a
+    quoted one is empty text. Booleans are ``true`` and ``false`` in any case.
+    Fields with line breaks need ``multi_line``, which reads each file in one
+    task.
     """
     given = schema if columns is None else T.StructType([schema[c] for c in columns])
     reader = spark.read.schema(given).option("header", True).option("mode", "FAILFAST").option("enforceSchema", True)
-    reader = reader.option("multiLine", False).option("escape", '"')
-    if null_value is not None:
-        reader = reader.option("nullValue", null_value)
-    loaded = reader.csv(path)
-    return loaded.select(
+    reader = reader.option("multiLine", multi_line).option("escape", '"').option("nullValue", _NO_TEXT)
+    loaded = reader.csv(path).select(
         *[F.col(f.name) if f.name in given.names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
     )
+    loaded.write.parquet(into)
+    return spark.read.schema(schema).parquet(into)
 
 
 def load_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
@@ -50,27 +58,28 @@ def normalise_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("int") for c in columns})
 
 
-def load_account_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return normalise_flags(load_csv(spark, path, schemas.ACCOUNT_PROFILES), schemas.ACCOUNT_FLAGS)
+def load_account_profiles(spark: SparkSession, path: str, into: str) -> DataFrame:
+    return normalise_flags(load_csv(spark, path, schemas.ACCOUNT_PROFILES, into), schemas.ACCOUNT_FLAGS)
 
 
-def load_network_edges(spark: SparkSession, path: str) -> DataFrame:
-    return load_csv(spark, path, schemas.NETWORK_EDGES, null_value="")
+def load_network_edges(spark: SparkSession, path: str, into: str) -> DataFrame:
+    return load_csv(spark, path, schemas.NETWORK_EDGES, into)
 
 
-def load_transactions(spark: SparkSession, path: str) -> DataFrame:
-    return load_csv(spark, path, schemas.TRANSACTIONS, null_value="")
+def load_transactions(spark: SparkSession, path: str, into: str) -> DataFrame:
+    return load_csv(spark, path, schemas.TRANSACTIONS, into)
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    """A result as parquet, or as CSV with a header and quoted fields.
+    """A result as parquet, or as CSV with a header; there NULL is an empty field and empty text is ``""``.
 
     Each task writes its own part file; ``partition_by`` lays large tables out
     by column so that later reads can skip folders.
     """
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     if fmt == "csv":
-        writer.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+        writer = writer.option("header", True).option("escape", '"').option("emptyValue", '""').option("nullValue", "")
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         writer.format(fmt).save(path)
 

@@ -77,6 +77,11 @@ class StarTables:
             )
         )
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        """The two-part key of the line items."""
+        return self._read("lineitem").selectExpr("concat_ws('-', l_orderkey, l_linenumber) AS line")
+
     @cached_property
     def accounts(self) -> DataFrame:
         """The part of the account table that does not come from transactions."""
