@@ -1,7 +1,8 @@
 """Fixed values.
 
 Texts, thresholds, weights and word lists whose value decides whether a result
-is right. They are stated here once, in the order in which they are tested.
+is right. They are stated here once: rules in the order in which they are
+tested, metrics in the order of ``YOY_METRICS``.
 """
 
 # --- Q1 control efficiency ---------------------------------------------------

@@ -24,7 +24,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
         # both its sides then have one plan up to the shuffle of the counts
         .groupBy(F.struct(*keys).alias("_group"), value)
         .agg(F.count("*").alias("_n"))
-        .withColumn("_cell", F.floor(F.signum(F.col(value).cast("double")) * magnitude))
+        .withColumn("_cell", F.struct(F.floor(F.signum(F.col(value).cast("double")) * magnitude)))
     )
     upto = Window.partitionBy("_group").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (

@@ -141,14 +141,13 @@ def account(i, kind="x", age=400, **more):
     return {**base, **more}
 
 
-@pytest.mark.parametrize("max_rows", [100, 1])
-def test_identity_scores(spark, max_rows):
+def test_identity_scores(spark):
     outlier = {"unique_countries": 90, "unique_categories": 40, "pct_foreign": "0.9", "avg_ip_risk": "95",
                "avg_velocity": "9", "avg_txn_amount": "900"}
     rows = [account(i) for i in range(20)] + [account(20, **outlier)]
     rows += [account(21, "lonely"), account(22, age=None), account(23, age=0), account(24, age=29), account(25, age=30)]
     rows += [account(26, None), account(27, None, age=3), account(28, avg_monthly_txns=0, credit_limit=0)]
-    found = by(synthetic_identity(frames.accounts(spark, rows), max_broadcast_rows=max_rows), "account_id")
+    found = by(synthetic_identity(frames.accounts(spark, rows)), "account_id")
     assert found["A020"].synthetic_id_suspicion_score == 100.0
     assert found["A020"].synthetic_id_verdict == fv.SYNTHETIC_CUTS[0][1]
     assert found["A021"].synthetic_id_suspicion_score == 0.0  # deviation unknown
@@ -291,15 +290,14 @@ def test_attack_windows(spark):
 # --- Q9 ---
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 9])
-def test_drift(spark, hot_rows):
+def test_drift(spark):
     rows = []
     for name, n in (("nine", 9), ("ten", 10), ("eleven", 11)):
         # equal times: the transaction id decides
         rows += [{"account_id": name, "velocity_1h": 1 if i < n // 2 else 3, "is_foreign_txn": i == n - 1} for i in range(n)]
         rows += [fraud(name, ts=frames.after(1)), {"account_id": name, "ts": frames.after(2), "velocity_1h": 99}]
     rows += [{"account_id": "clean"}] * 12
-    found = by(precrime_drift(frames.transactions(spark, rows), hot_rows=hot_rows), "account_id")
+    found = by(precrime_drift(frames.transactions(spark, rows)), "account_id")
     assert set(found) == {"ten", "eleven"}
     assert found["ten"].velocity_drift == 2.0 and found["ten"].foreign_pct_drift == 20.0
     assert found["eleven"].velocity_drift == 2.0 and found["eleven"].foreign_pct_drift == 16.67

@@ -4,8 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 import checks
+from oracle.operators import oracles
+from tamarack import registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), oracles()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +17,7 @@ def con(small):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

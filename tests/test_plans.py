@@ -8,11 +8,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack import registry
-from tamarack.operators import rings
+from tamarack.operators import ranking, rings
+from tamarack.operators.medians import exact_median
+from tamarack.operators.timeline import totals_after
+from tamarack.plans.derived import account_totals
 from tamarack.plans.pattern_evolution import pattern_evolution
 from tamarack.plans.precrime_drift import precrime_drift
 from tamarack.plans.resource_efficiency import resource_efficiency
-from tamarack.plans.ring_contagion import ring_contagion
+from tamarack.plans.response_lag import response_lag
+from tamarack.plans.ring_contagion import contagion_speed, ring_contagion
+from tamarack.plans.synthetic_identity import synthetic_identity
 from tamarack.plans.yoy_evolution import yoy_evolution
 from tamarack.session import stored
 from tests import frames
@@ -92,16 +97,51 @@ def test_filter_and_columns_reach_the_scan(spark, lake):
     assert "ReusedExchange" in plan
 
 
-@pytest.mark.parametrize("build, scans", [(yoy_evolution, 1), (pattern_evolution, 1), (precrime_drift, 2)])
+@pytest.mark.parametrize("build, scans", [(yoy_evolution, 1), (pattern_evolution, 1), (precrime_drift, 3), (account_totals, 1)])
 def test_scans_of_the_transactions(spark, lake, build, scans):
     plan = executed_plan(build(spark.read.parquet(lake)))
     assert "ResultQueryStage" in plan and len(re.findall("FileScan parquet", plan)) <= scans
 
 
-def test_hot_accounts_are_set_apart_without_a_shuffle(spark, lake):
-    """The short list of hot accounts is broadcast; transactions are shuffled once, to the usual accounts."""
-    plan = precrime_drift(spark.read.parquet(lake))._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"BroadcastHashJoin .*LeftAnti", plan) and not re.search(r"SortMergeJoin .*LeftAnti", plan)
+def test_medians_read_their_input_once(spark, lake):
+    plan = executed_plan(exact_median(spark.read.parquet(lake), ["fraud_pattern"], "amount", "median"))
+    assert len(re.findall("FileScan parquet", plan)) == 1 and "ReusedExchange" in plan
+
+
+def jobs_of(spark, build):
+    tracker, group = spark.sparkContext.statusTracker(), f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    build()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("name", ["synthetic_identity", "ring_contagion", "response_lag", "precrime_drift", "page"])
+def test_building_a_query_starts_no_job(spark, lake, name):
+    tx = spark.read.parquet(lake)
+    edges = frames.edges(spark, [("A1", "A2", "R")])
+    builds = {
+        "synthetic_identity": lambda: synthetic_identity(frames.accounts(spark, [{"account_id": "A1", "account_age_days": 99}])),
+        "ring_contagion": lambda: ring_contagion(tx, edges),
+        "response_lag": lambda: response_lag(tx, edges),
+        "precrime_drift": lambda: precrime_drift(tx),
+        "page": lambda: ranking.page(tx, [("amount", "desc"), ("transaction_id",)], 7),
+    }
+    assert jobs_of(spark, lambda: tx.count()) > 0
+    assert jobs_of(spark, builds[name]) == 0
+
+
+def test_an_account_with_all_its_fraud_on_one_day_is_divided(spark):
+    """A third of all fraud is one account's, on one day; no window holds it together."""
+    at = F.expr("timestampadd(SECOND, CAST(id % 86400 AS INT), TIMESTAMP_NTZ'2022-03-01 00:00:00')")
+    key = F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("A"), F.col("id") % 500))
+    events = spark.range(30_000).select(key.alias("key"), at.alias("ts"), F.lit(1).cast("bigint").alias("n"))
+    marks = events.filter("id % 10 = 0").select("key", "ts", F.lit("m").alias("mark"))
+    with settings(spark, spark__sql__shuffle__partitions="64", spark__sql__adaptive__coalescePartitions__enabled="false"):
+        plan = executed_plan(totals_after(events, marks, "key", "ts", {"n": "later"}))
+        assert re.search(r"hashpartitioning\(key#\d+, _minute#\d+, 64\)", plan)
+        by_minute = events.withColumn("_minute", F.date_trunc("minute", "ts")).repartition(64, "key", "_minute")
+        assert by_minute.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2_000
 
 
 def test_a_hot_ring_is_divided_where_members_meet_their_seed(spark):
@@ -132,7 +172,7 @@ def test_a_hot_ring_is_divided_where_members_meet_their_seed(spark):
 
 def test_contagion_never_joins_members_with_their_ring(spark):
     """Each task passes on at most two rows per ring, and sums the rest."""
-    tx = frames.transactions(spark, [{"account_id": a, "is_fraud": True, "ts": frames.after(i)} for i, a in enumerate("ABC")])
-    edges = frames.edges(spark, [("A", "B", "R"), ("B", "C", "R")])
-    plan = ring_contagion(tx, edges)._jdf.queryExecution().executedPlan().toString()
+    rows = [("R", a, frames.after(i)) for i, a in enumerate("ABC")]
+    members = spark.createDataFrame(rows, "ring_id string, account_id string, first_fraud_date timestamp_ntz")
+    plan = contagion_speed(members)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan and plan.count("Join") == 1
