@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,4 +132,27 @@ SQL: dict[str, str] = {
         FROM rows
         WINDOW best AS (PARTITION BY bare ORDER BY points DESC, doc_id NULLS LAST)
     """,
+    "op10_ngram_join": rf"""
+        WITH RECURSIVE split AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM split
+        ), tokens AS (
+            SELECT r, unnest(s) AS t FROM sets
+        ), common AS (
+            SELECT a.r AS x, b.r AS y, count(*) AS n FROM tokens a JOIN tokens b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r
+        ), links AS (
+            SELECT x, y FROM common JOIN sets a ON a.r = x JOIN sets b ON b.r = y WHERE 100 * n >= 80 * (len(a.s) + len(b.s) - n)
+        ), edges AS (
+            SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+        ), reached AS (
+            SELECT r AS x, r AS y FROM sets UNION SELECT reached.x, edges.y FROM reached JOIN edges ON edges.x = reached.y
+        )
+        SELECT a.doc_id, len(a.s) AS n_shingles, min(b.doc_id) AS component_id
+        FROM reached JOIN sets a ON a.r = reached.x JOIN sets b ON b.r = reached.y GROUP BY a.r, a.doc_id, a.s
+    """,
 }
