@@ -47,6 +47,10 @@ from tamarack.session import stored
 WORDS, PERCENT = 5, 80
 #: Tokens of more classes than this are frequent.
 FREQUENT = 32
+#: Centers that a class is compared with in a round; rounds without a new link that are suffered before all that is left is compared.
+PARTNERS, IDLE_ROUNDS = 3, 0
+#: Groups of more classes than this get a pivot; below, all pairs are as cheap.
+PIVOT_FROM = 8
 #: Tokens gathered in a task before they are sent; tokens that a bucket has on average at most; bytes hashed at a time.
 FLUSH, BUCKET_TOKENS, BLOCK = 2_000_000, 2_000_000, 1 << 18
 
@@ -338,12 +342,17 @@ def _similar(overlap: str) -> str:
     return f"(100 + {PERCENT}) * CAST({overlap} AS BIGINT) >= {PERCENT} * (CAST(x_n AS BIGINT) + y_n)"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sets are similar; tokens that one class alone has cannot be shared."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) with x_n, y_n and their overlap; tokens that one class alone has cannot be shared."""
     x = sets.select(F.col("key").alias("x"), F.col("n").alias("x_n"), F.col("tokens").alias("x_tokens"))
     y = sets.select(F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("tokens").alias("y_tokens"))
     both = pairs.select("x", "y").join(x, "x").join(y, "y")
-    linked = both.filter(F.expr(_similar("size(array_intersect(x_tokens, y_tokens))")))
+    return both.select("x", "y", "x_n", "y_n", F.size(F.array_intersect("x_tokens", "y_tokens")).alias("overlap"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar, as links."""
+    linked = _overlaps(pairs, sets).filter(F.expr(_similar("overlap")))
     return stored(linked.select(F.col("x").alias("u"), F.col("y").alias("v")), "shingle-links")
 
 
@@ -352,35 +361,62 @@ def class_links(sets: DataFrame) -> DataFrame | None:
     members = sets.select("key", "n", F.size("tokens").alias("shared"), F.explode("signatures").alias("signature"))
     groups = members.groupBy("signature").count().filter("count > 1").select("signature")
     members = stored(members.join(stored(groups, "shingle-groups"), "signature"), "shingle-members")
-    links, roots = None, None
+    links, roots, turn, idle = None, None, 0, 0
     while True:
         now = members.withColumn("part", F.col("key"))
         if roots is not None:
             now = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("root", "key")).drop("node", "root")
-        spread = now.groupBy("signature").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by(F.struct("key", "n", "shared"), F.struct("part", "key")).alias("center"))
-        open_groups = stored(spread.filter("low != high"), "shingle-open")
-        now = now.join(open_groups, "signature")
-        # a class meets the first class of its groups whose component is smaller, the one in most groups: a pair for each class and round
-        star = now.filter("part != low").select(
-            F.col("key").alias("x"), F.col("n").alias("x_n"), "shared", F.col("center.key").alias("y"), F.col("center.n").alias("y_n"), F.col("center.shared").alias("y_shared")
+        # first the class with the fewest tokens of its own, the most like all others; then any
+        first = (F.col("n") - F.col("shared")).cast("long") if turn == 0 else F.xxhash64("key", F.lit(turn))
+        center = F.min(F.struct(first.alias("first"), "key", "n", "shared", "part")).alias("center")
+        spread = now.groupBy("signature").agg(F.min("part").alias("low"), F.max("part").alias("high"), center)
+        now = now.join(stored(spread.filter("low != high"), "shingle-open"), "signature")
+        if idle > IDLE_ROUNDS:
+            break
+        meet = now.filter("part != center.part").select(
+            F.col("key").alias("x"), F.col("n").alias("x_n"), "shared", *[F.col(f"center.{a}").alias(b) for a, b in (("key", "y"), ("n", "y_n"), ("shared", "y_shared"))]
         )
-        star = _possible(star).groupBy("x", "y").count().groupBy("x").agg(F.max_by("y", F.struct("count", -F.col("y").cast("decimal(20,0)"))).alias("y"))
-        found = _verified(star, sets)
+        # of the centers of its groups a class is compared with those that it shares most groups with
+        often = F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), asc=False), 1, PARTNERS)
+        pairs = _possible(meet).groupBy("x", "y").count().groupBy("x").agg(often.alias("often"))
+        found = _verified(pairs.select("x", F.explode("often.y").alias("y")), sets)
+        turn += 1
         if found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        roots = components(links)
+            idle += 1
+            continue
+        roots = components(found if links is None else links.union(found))
         links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
-    here = stored(now.select("signature", "key", "n", "shared", "part"), "shingle-rest")
-    other = here.select("signature", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("shared").alias("y_shared"), F.col("part").alias("y_part"))
-    rest = here.withColumnsRenamed({"key": "x", "n": "x_n"}).join(other, "signature").filter("part < y_part")
-    found = _verified(_possible(rest).select("x", "y").distinct(), sets)
+    found = _verified(_rest(now, sets), sets)
     if found.isEmpty():
         return roots
     return components(found if links is None else links.union(found))
 
 
+def _rest(now: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs of different components that share a signature and may be similar.
+
+    In groups of more than ``PIVOT_FROM`` classes the exact overlap of each class
+    with one of them, the pivot, bounds the overlap of any two: what they share
+    is in the pivot, no more than either has there, or outside of it. Near
+    copies share many groups, mostly with one pivot; they meet once for it.
+    """
+    now = now.select("signature", "key", "n", "shared", "part")
+    own = F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), F.col("key").alias("pivot")))
+    large = now.groupBy("signature").agg(own.alias("least"), F.count("*").alias("many")).filter(F.col("many") > PIVOT_FROM)
+    pivots = stored(large.select("signature", "least.pivot"), "shingle-pivots")
+    now = stored(now.join(pivots, "signature", "left"), "shingle-rest")
+    met = now.filter("pivot IS NOT NULL AND pivot != key").select(F.col("key").alias("x"), F.col("pivot").alias("y")).distinct()
+    common = _overlaps(met, sets).select(F.col("x").alias("key"), F.col("y").alias("pivot"), "overlap")
+    place = F.struct(F.col("pivot").isNull().alias("small"), F.coalesce("pivot", "signature").alias("of")).alias("place")
+    here = now.select(place, "key", "n", "shared", "part", "pivot").distinct().join(stored(common, "shingle-overlaps"), ["key", "pivot"], "left")
+    here = stored(here.select("place", "key", "n", "shared", "part", F.coalesce("overlap", "shared").alias("inside")), "shingle-rest")
+    other = here.select("place", *[F.col(a).alias(b) for a, b in (("key", "y"), ("n", "y_n"), ("shared", "y_shared"), ("part", "y_part"), ("inside", "y_inside"))])
+    rest = here.withColumnsRenamed({"key": "x", "n": "x_n"}).join(other, "place").filter("part < y_part")
+    bound = "least(inside, y_inside) + least(shared - inside, y_shared - y_inside)"
+    return _possible(rest).filter(F.expr(_similar(bound))).select("x", "y").distinct()
+
+
 def _possible(pairs: DataFrame) -> DataFrame:
     """Pairs whose sizes, and whose numbers of tokens that others have as well, allow the similarity."""
     sizes = f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n)"
