@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.operators.joins import divisible_join
 from tamarack.session import stored
 
 
@@ -12,21 +13,21 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node it or its neighbours have."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return divisible_join(both.filter("v > u"), smallest, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     smallest = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v")))
+    return divisible_join(down, smallest, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v")))
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest key of its component) of all nodes but the roots; links have long u and v.
 
     Every round is written to the shared folder, so lineage stays short and a
-    lost executor costs a re-read. Rounds grow with the logarithm of the longest
+    lost executor costs a re-read. A hub is divided among tasks. Rounds grow with the logarithm of the longest
     chain; they end when one changes nothing.
     """
     edges, before = stored(links.select("u", "v").filter("u != v").distinct(), "links"), None
