@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tamarack.session import stored
 
 #: Answers per query; most lists; sampled vectors per list for the centroids; share of the lists probed, and least number.
-K, MAX_LISTS, SAMPLE_PER_LIST, PROBED_SHARE, LEAST_PROBED = 5, 1024, 32, 0.65, 16
+K, MAX_LISTS, SAMPLE_PER_LIST, PROBED_SHARE, LEAST_PROBED = 5, 1024, 32, 0.75, 16
 #: Candidates in a chunk and queries in a block, which bound a task; candidates of the first step, which doubles up to the last.
 CHUNK_ROWS, BLOCK_ROWS, FIRST, LAST = 8_192, 2_048, 64, 1_024
 #: Columns per block, and the strictness of the test: the probability of losing a true neighbour falls with its square.
