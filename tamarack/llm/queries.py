@@ -16,6 +16,7 @@ from tamarack.llm.packing import packed
 from tamarack.llm.quality import THRESHOLD, held_out, with_quality
 from tamarack.llm.sharding import sharded
 from tamarack.llm.shingle_join import near_duplicates
+from tamarack.llm.token_counts import with_token_counts
 from tamarack.llm.url_filter import url_verdicts
 from tamarack.llm.vector_search import build_index, search
 
@@ -98,6 +99,11 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_token_counts(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", c("counts.words").alias("n_words"), c("counts.tokens").alias("n_tokens"))
+
+
 def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     rows = near_duplicates(table(spark, folder, "documents"))
     return rows.select(c("_id").alias("doc_id"), c("n").alias("n_shingles"), c("component").alias("component_id"))
@@ -115,6 +121,7 @@ QUERIES: dict[str, Query] = {
         op6_vector_search,
         op7_exact_shards,
         op8_license_scan,
+        op9_token_counts,
         op10_ngram_join,
     )
 }
