@@ -16,6 +16,7 @@ name pass through, since a row travels as one struct.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -72,14 +73,15 @@ FAMILIES = (
     ("cc0", ("cc0", "creative commons zero"), ("1 0",)),
 )
 
-#: label, keyword, words as a regular expression (``_`` between words), priority, confidence.
+#: label, keyword, words as a regular expression (``_`` between words, ``<n>`` for n words at most), priority, confidence.
+#: The standard texts leave 62 words (MIT), 14 (ISC) and 22 (BSD) in their gaps.
 NOTICES = (
-    ("proprietary", "reserved", "copyright_.{0,80}?_all_rights_reserved", 30, 0.6),
-    ("proprietary", "confidential", "proprietary_and_confidential_.{0,40}?_licen[cs]e", 30, 0.7),
+    ("proprietary", "reserved", "copyright<27>_all_rights_reserved", 30, 0.6),
+    ("proprietary", "confidential", "proprietary_and_confidential<14>_licen[cs]e", 30, 0.7),
     ("public-domain", "domain", "(released_into|placed_in|dedicated_to)_the_public_domain", 50, 0.8),
-    ("mit", "permission", "permission_is_hereby_granted_free_of_charge_.{0,400}?_copyright", 60, 0.95),
-    ("isc", "permission", "permission_to_use_copy_modify_and_or_distribute_this_software_.{0,200}?_copyright", 60, 0.9),
-    ("bsd", "redistribution", "redistribution_and_use_in_source_and_binary_forms_.{0,200}?_copyright", 60, 0.9),
+    ("mit", "permission", "permission_is_hereby_granted_free_of_charge<134>_copyright", 60, 0.95),
+    ("isc", "permission", "permission_to_use_copy_modify_and_or_distribute_this_software<67>_copyright", 60, 0.9),
+    ("bsd", "redistribution", "redistribution_and_use_in_source_and_binary_forms<67>_copyright", 60, 0.9),
     ("see-license", "file", "see_(the_)?licen[cs]e_file", 20, 0.3),
 )
 
@@ -116,8 +118,8 @@ def signature_rules() -> list[dict]:
 
 
 def _spaced(pattern: str) -> str:
-    """``_`` becomes the two spaces between words; the ends must be word ends."""
-    return "(?<= )" + pattern.replace("_", "  ") + "(?= )"
+    """``_`` becomes the two spaces between words, ``<n>`` a gap of whole words; the ends must be word ends."""
+    return "(?<= )" + re.sub("<([0-9]+)>", r"(?:_[^ ]+){0,\1}?", pattern).replace("_", "  ") + "(?= )"
 
 
 def spaced_words(text: Column) -> Column:

@@ -300,3 +300,45 @@ def test_rules_have_their_gates():
     for rule in license_scan.signature_rules():
         assert re.search(rf"\b{rule['keyword']}\b|{rule['keyword']}  ", rule["pattern"])
     assert len(license_scan.signature_rules()) > 300
+
+
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+
+#: Texts that rest on the notice alone: at least one for each rule.
+NOTICE_TEXTS = [
+    (MIT_TEXT, "mit"),
+    (MIT_TEXT.replace('"Software"', "\u201cSoftware\u201d"), "mit"),
+    (ISC_TEXT, "isc"),
+    (BSD_TEXT, "bsd"),
+    ("Copyright (c) 2024 The Example Company of Somewhere, Inc., its parents and its heirs. All rights reserved.", "proprietary"),
+    ("Copyright. All rights reserved.", "proprietary"),
+    ("Proprietary and confidential. Use is subject to a license.", "proprietary"),
+    ("Released into the public domain.", "public-domain"),
+    ("This work was placed in the public domain.", "public-domain"),
+    ("Dedicated to the public domain.", "public-domain"),
+    ("See the LICENSE file.", "see-license"),
+    ("See LICENCE file", "see-license"),
+]
+
+
+def labels_and_scores(spark, folder, texts):
+    found = rows(spark, "op8_license_scan", write_documents(folder, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    return [(r["labels"], r["score"]) for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
+def test_notices_fit_their_standard_texts(spark, tmp_path):
+    found = labels_and_scores(spark, tmp_path, [t for t, _ in NOTICE_TEXTS])
+    assert [labels for labels, _ in found] == [label for _, label in NOTICE_TEXTS]
+    assert all(score > 0 for _, score in found)
+    assert {label for label, *_ in license_scan.NOTICES} == {label for _, label in NOTICE_TEXTS}
