@@ -30,8 +30,11 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 #: What separates words, after A-Z are lower-cased.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: One of these stands in every text that a rule can fit.
-STEMS = ("licen", "gpl", "copyright", "spdx", "public domain", "cc by")
+#: One of these stands in every text that a rule can fit; the last four are for the forms that end in a name.
+STEMS = (
+    *("licen", "gpl", "copyright", "spdx", "public domain", "cc by"),
+    *("released under", "distributed under", "available under", "provided under"),
+)
 
 #: label, names in texts, versions. Keyword: the first word of a name.
 FAMILIES = (

@@ -342,3 +342,46 @@ def test_notices_fit_their_standard_texts(spark, tmp_path):
     assert [labels for labels, _ in found] == [label for _, label in NOTICE_TEXTS]
     assert all(score > 0 for _, score in found)
     assert {label for label, *_ in license_scan.NOTICES} == {label for _, label in NOTICE_TEXTS}
+
+
+def fitting_texts(pattern):
+    """Spaced words that fit a rule: once with every option left out, once for each word of its alternatives."""
+    bare = pattern.removeprefix("(?<= )").removesuffix("(?= )").replace("[cs]", "c")
+    bare = re.sub(r"\(\?:  \[\^ \]\+\)\{0,[0-9]+\}\?", "", bare).replace("[0-9]+", "7")
+    todo, done = [bare], set()
+    while todo:
+        text = todo.pop()
+        group = re.search(r"\(([^()]*)\)(\??)", text)
+        if group is None:
+            option = re.search(r"(.)\?", text)
+            if option is None:
+                done.add(f" {text} ")
+            else:
+                todo += [text[: option.start()] + x + text[option.end() :] for x in ("", option[1])]
+        else:
+            choices = group[1].split("|") + ([""] if group[2] else [])
+            todo += [text[: group.start()] + x + text[group.end() :] for x in choices]
+    return done
+
+
+def test_every_rule_passes_the_stems():
+    for rule in license_scan.signature_rules():
+        texts = fitting_texts(rule["pattern"])
+        assert texts and all(re.fullmatch(f" ?{rule['pattern']} ?", text) for text in texts), rule
+        assert all(any(stem.replace(" ", "  ") in text for stem in license_scan.STEMS) for text in texts), rule
+
+
+UNDER_TEXTS = [
+    ("Released under the Apache 2.0.", "apache"),
+    ("distributed under the MPL 2.0", "mpl"),
+    ("Available under the BSD.", "bsd"),
+    ("It is released under Creative Commons Attribution 4.0.", "cc-by"),
+    ("provided under the terms of the MIT", "mit"),
+    ("Released under pressure from the committee.", ""),
+]
+
+
+def test_names_after_under_need_no_other_word(spark, tmp_path):
+    found = labels_and_scores(spark, tmp_path, [t for t, _ in UNDER_TEXTS])
+    assert [labels for labels, _ in found] == [label for _, label in UNDER_TEXTS]
+    assert [score > 0 for _, score in found] == [bool(label) for _, label in UNDER_TEXTS]
