@@ -95,6 +95,9 @@ FORMS = (
     ("", "_licen[cs]e", 40, 0.7),
 )
 
+#: Names of one word that a version may be attached to, as in gplv3, lgplv2 1 or apache2.
+SHORT = tuple(name for _, names, versions in FAMILIES if versions for name in names if name.isalpha())
+
 RULE = "array<struct<place:int, label:string, keyword:string, pattern:string, priority:int, confidence:double>>"
 
 
@@ -110,9 +113,14 @@ def signature_rules() -> list[dict]:
                 else:
                     after_name = after
                 for version in (*versions, ""):
-                    tail = f"_(version_|v(_)?)?{version.replace(' ', '_')}(_or_later)?" if version else ""
+                    number = version.replace(" ", "_")
+                    tail = f"_(version_|v(_)?)?{number}(_or_later)?" if version else ""
+                    ending = after_name + tail
+                    if name.split()[-1] in SHORT:
+                        fused = f"(v(_)?)?{number}(_or_later)?" if version else "(v|v?[0-9]+)"
+                        ending = f"({ending}|{fused}{after_name})"
                     rank = priority + (5 if version else 0)
-                    rules.append({"label": label, "keyword": name.split()[0], "pattern": f"{before}{words}{after_name}{tail}", "priority": rank, "confidence": confidence})
+                    rules.append({"label": label, "keyword": name.split()[0], "pattern": f"{before}{words}{ending}", "priority": rank, "confidence": confidence})
     rules += [{"label": a, "keyword": k, "pattern": p, "priority": r, "confidence": c} for a, k, p, r, c in NOTICES]
     for place, rule in enumerate(rules):
         rule["pattern"] = _spaced(rule["pattern"])
@@ -203,7 +211,9 @@ def license_scan(docs: DataFrame, carry: Sequence[str] | None = None, text_colum
         return F.when(F.contains(words, F.lit(" " + phrase.replace(" ", "  ") + " ")), places).otherwise(none)
 
     places = F.concat(*[places_of(*base) for base in BASE])
-    present = F.array_intersect(F.split(words, " +"), F.array(*map(F.lit, keywords)))
+    # beside a short name with a version attached goes the name itself, which is the keyword
+    named = F.regexp_replace(words, f" (({'|'.join(SHORT)})(?:v|v?[0-9]+)) ", " $1  $2 ")
+    present = F.array_intersect(F.split(named, " +"), F.array(*map(F.lit, keywords)))
     candidates = F.filter(table, lambda rule: F.array_contains(F.col("_present"), rule["keyword"]))
     detected = F.array_sort(F.flatten(F.transform(candidates, lambda rule: _detections(words, rule))))
     left = F.filter("_detected", lambda b: ~F.exists("_detected", lambda a: _beats(a, b)))

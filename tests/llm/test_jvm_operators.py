@@ -385,3 +385,37 @@ def test_names_after_under_need_no_other_word(spark, tmp_path):
     found = labels_and_scores(spark, tmp_path, [t for t, _ in UNDER_TEXTS])
     assert [labels for labels, _ in found] == [label for _, label in UNDER_TEXTS]
     assert [score > 0 for _, score in found] == [bool(label) for _, label in UNDER_TEXTS]
+
+
+FUSED_TEXTS = [
+    ("GPLv3", "gpl"),
+    ("GPLv2+", "gpl"),
+    ("GPL3", "gpl"),
+    ("a GNU GPLv2 program", "gpl"),
+    ("GPLv3-or-later", "gpl"),
+    ("GPL v. 3, GPLv 3", "gpl"),
+    ("LGPLv2.1", "lgpl"),
+    ("AGPLv3", "agpl"),
+    ("Released under the MPLv2", "mpl"),
+    ("the MPLv2.0 license", "mpl"),
+    ("SPDX-License-Identifier: Apache2", "apache"),
+    ("licensed under the EUPLv1.2", "eupl"),
+    ("GPLv3 or LGPLv3", "gpl,lgpl"),
+    ("CC0 license", "cc0"),
+    ("GPLvx, GPLs and xGPLv3", ""),
+    ("a php7 server, no license", ""),
+]
+
+
+def test_versions_may_be_attached(spark, tmp_path):
+    found = labels_and_scores(spark, tmp_path, [t for t, _ in FUSED_TEXTS])
+    assert [labels for labels, _ in found] == [label for _, label in FUSED_TEXTS]
+    assert [score > 0 for _, score in found] == [bool(label) for _, label in FUSED_TEXTS]
+
+
+def test_an_attached_version_ranks_like_its_own_word(spark, tmp_path):
+    found = rows(spark, "op8_license_scan", write_documents(tmp_path, [(0, "GPLv3", "en", "s"), (1, "GPL v3", "en", "s")]))
+    rules = {r["place"]: r for r in license_scan.signature_rules()}
+    scanned = license_scan.license_scan(spark.createDataFrame([(0, "GPLv3"), (1, "GPL v3")], "doc_id int, text string")).collect()
+    kept = [[rules[d["place"]]["priority"] for d in r["_found"]] for r in scanned]
+    assert kept[0] == kept[1] == [45] and len({r["score"] for r in found}) == 1
