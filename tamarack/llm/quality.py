@@ -50,8 +50,13 @@ def _buckets(packed: np.ndarray, bits: int) -> np.ndarray:
     return ((packed * _MIX) >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def grams(block: np.ndarray, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, buckets) of 3-grams, 5-grams and words of a block that starts and ends with a space."""
+def grams(block: np.ndarray, bits: int = BITS, heads: Sequence[int] = (0,), last: bytes = b"") -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, buckets) of 3-grams, 5-grams and words of a block that starts and ends with a space.
+
+    ``heads`` are the places where texts begin: their first words have none before
+    them. ``last`` is the word before the block, if its first text began in an
+    earlier one.
+    """
     u, space = block.astype(np.uint64), block == 32
     if len(block) < 3:
         return []
@@ -71,6 +76,10 @@ def grams(block: np.ndarray, bits: int = BITS) -> list[tuple[np.ndarray, np.ndar
     # whether a word repeats the one before: the one thing about word pairs that holds for unseen words
     again = np.zeros(len(word), np.uint64)
     again[1:] = word[1:] == word[:-1]
+    if last and len(word):
+        again[0] = block[start[0] : end[0]].tobytes() == last
+    firsts = np.searchsorted(start, heads)
+    again[firsts[firsts < len(word)]] = 0
     found.append((start, _buckets(again + np.uint64(1 << 60), bits)))
     return found
 
@@ -84,20 +93,28 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text
 
 
-def _blocks(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, list[int], list[int]]]:
-    """Blocks of texts, a space around each; where each piece starts, and its text's number."""
-    parts, starts, owners, at = [b" "], [], [], 1
+def _blocks(texts: Sequence[bytes]) -> Iterator[tuple[np.ndarray, list[int], list[int], list[int], bytes]]:
+    """Blocks of texts, a space around each; where each piece starts, its text's number, and ``heads`` and ``last`` for the grams."""
+    parts, starts, owners, heads, last, at = [b" "], [], [], [], b"", 1
     for owner, text in enumerate(texts):
-        for piece in _pieces(text.translate(_BLANKS)):
+        before = b""
+        for i, piece in enumerate(_pieces(text.translate(_BLANKS))):
             if at + len(piece) + 1 > BLOCK and owners:
-                yield np.frombuffer(b"".join(parts), np.uint8), starts, owners
-                parts, starts, owners, at = [b" "], [], [], 1
+                yield np.frombuffer(b"".join(parts), np.uint8), starts, owners, heads, last
+                parts, starts, owners, heads, at = [b" "], [], [], [], 1
+            # a piece that goes on in the middle of a word has no word before it
+            goes_on = i > 0 and piece.startswith(b" ")
+            if not owners:
+                last = before if goes_on else b""
+            if not goes_on:
+                heads.append(at - 1)
             starts.append(at - 1)
             owners.append(owner)
             parts += [piece, b" "]
             at += len(piece) + 1
+            before = piece.rstrip(b" ").rpartition(b" ")[2] or before
     if owners:
-        yield np.frombuffer(b"".join(parts), np.uint8), starts, owners
+        yield np.frombuffer(b"".join(parts), np.uint8), starts, owners, heads, last
 
 
 def _bytes(texts: pa.Array) -> list[bytes]:
@@ -106,7 +123,7 @@ def _bytes(texts: pa.Array) -> list[bytes]:
 
 def counted(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each occurs."""
-    found = [b for block, _, _ in _blocks([text]) for _, b in grams(block, bits)]
+    found = [b for block, _, _, heads, last in _blocks([text]) for _, b in grams(block, bits, heads, last)]
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
@@ -121,9 +138,9 @@ class Model:
         """Probability of label 1 for each text."""
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
         bits = len(self.weights).bit_length() - 1
-        for block, starts, owners in _blocks(texts):
+        for block, starts, owners, heads, last in _blocks(texts):
             value, weight = np.zeros(len(block)), np.zeros(len(block))
-            for places, buckets in grams(block, bits):
+            for places, buckets in grams(block, bits, heads, last):
                 value[places] += self.weights[buckets]
                 weight[places] += 1
             np.add.at(total, owners, np.add.reduceat(value, starts))

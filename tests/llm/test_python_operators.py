@@ -140,6 +140,28 @@ def test_long_text_is_read_to_its_end():
     assert model.scores([b"x" * 1_000_000]).shape == (1,)
 
 
+def test_repeats_stay_within_a_text():
+    model = quality.Model(np.random.default_rng(3).normal(size=1 << quality.BITS), 0.0)
+    texts = [b"copy", b"copy", b"copy", b"", b"copy", b"end and end", b"end of it", b"  ", b"it"]
+    assert list(model.scores(texts)) == [model.scores([t])[0] for t in texts]
+
+
+def test_repeats_go_on_across_blocks():
+    fresh, again = quality._buckets(np.array([0, 1], np.uint64) + np.uint64(1 << 60), quality.BITS)
+
+    def found(text):
+        counts = dict(zip(*(x.tolist() for x in quality.counted(text)), strict=True))
+        return counts.get(fresh, 0), counts.get(again, 0)
+
+    n = quality.BLOCK // 5 + 100
+    assert found(b"word " * n) == (1, n - 1)
+    assert found(b"a" * (quality.BLOCK - 10) + b" b b") == (2, 1)
+    assert found(b"b " + b" " * (2 * quality.BLOCK) + b"b c") == (2, 1)
+    long = b"word " * n + b" " * quality.BLOCK
+    model = quality.Model(np.random.default_rng(3).normal(size=1 << quality.BITS), 0.0)
+    assert list(model.scores([long, b"word"])) == [model.scores([t])[0] for t in (long, b"word")]
+
+
 # --- vector search -------------------------------------------------------------------
 
 
