@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from tamarack.llm.sharding import sharded
 from tamarack.llm.shingle_join import near_duplicates
 from tamarack.llm.token_counts import with_token_counts
 from tamarack.llm.url_filter import url_verdicts
-from tamarack.llm.vector_search import build_index, search
+from tamarack.llm.vector_search import build_indexes, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,10 +60,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_vector_search(spark: SparkSession, folder: str) -> DataFrame:
-    index = build_index(table(spark, folder, "embeddings"))
-    if index is None:
+    indexes = build_indexes(table(spark, folder, "embeddings"))
+    if not indexes:
         return spark.range(0).selectExpr("id AS query_id", "0 AS rank", "id AS vec_id", "0D AS score")
-    return search(index, c("_id") % 50 == 0)
+    return reduce(DataFrame.unionByName, [search(index, c("_id") % 50 == 0) for index in indexes])
 
 
 def op7_exact_shards(spark: SparkSession, folder: str) -> DataFrame:

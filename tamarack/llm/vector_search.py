@@ -12,8 +12,8 @@ Lists are cut into chunks and their queries into blocks of bounded size, so a
 list that holds a third of all rows is many tasks, each of known memory.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components take no part, nor do rows without id or of another length than the
-most frequent one; equal scores go to the smaller id; rows that repeat an id are
+components take no part, nor do rows without id; vectors of each length have an
+index and answers of their own; equal scores go to the smaller id; rows that repeat an id are
 rows of their own; a query gets fewer than k answers only if there are fewer
 candidates; an empty table gives an empty result.
 """
@@ -156,13 +156,24 @@ def _nearest(centers: np.ndarray) -> callable:
 
 
 def build_index(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> Index | None:
-    """Fits at most ``MAX_LISTS`` centroids, about the square root of the rows, and deals every row to the nearest one."""
+    """The index of the most frequent vector length."""
     rows = usable(rows, id_column, vector_column)
-    lengths = rows.groupBy(F.size("_vec").alias("_d")).count()
-    top = lengths.orderBy(F.desc("count"), "_d").first()
-    if top is None:
-        return None
-    d, n = top
+    top = _lengths(rows).first()
+    return None if top is None else _index(rows, *top)
+
+
+def build_indexes(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> list[Index]:
+    """An index for each vector length, the most frequent one first."""
+    rows = usable(rows, id_column, vector_column)
+    return [_index(rows, d, n) for d, n in _lengths(rows).collect()]
+
+
+def _lengths(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.size("_vec").alias("_d")).count().orderBy(F.desc("count"), "_d")
+
+
+def _index(rows: DataFrame, d: int, n: int) -> Index:
+    """Fits at most ``MAX_LISTS`` centroids, about the square root of the ``n`` rows of length ``d``, and deals each to the nearest one."""
     rows = rows.filter(F.size("_vec") == d)
     lists = max(1, min(MAX_LISTS, int(n**0.5)))
     sample = rows.orderBy(F.xxhash64("_id", F.lit(SEED)), F.xxhash64("_vec")).limit(lists * SAMPLE_PER_LIST).select("_vec").toArrow()

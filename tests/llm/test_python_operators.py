@@ -227,6 +227,21 @@ def test_fewer_candidates_than_asked(spark):
     assert vector_search.search(vector_search.build_index(alone), F.col("_id") % 50 == 0).count() == 0
 
 
+def test_each_length_has_its_answers(spark, tmp_path):
+    random = np.random.default_rng(5)
+    lengths = {i: 3 if i < 120 else 2 for i in range(200)} | {201: 7}  # the last length has no query
+    vectors = [(i, random.standard_normal(d).tolist()) for i, d in lengths.items()]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = defaultdict(list)
+    for r in queries.op6_vector_search(spark, str(tmp_path)).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    want = {}
+    for d in (2, 3):
+        own = [v for v in vectors if len(v[1]) == d]
+        want |= {own[i][0]: [v for v, _ in answer] for i, answer in brute(own).items()}
+    assert set(want) == {0, 50, 100, 150} and {q: [v for _, v in sorted(a)] for q, a in got.items()} == want
+
+
 def test_scan_keeps_the_nearest():
     random = np.random.default_rng(1)
     x = vector_search.normed(random.standard_normal((3000, 64)))
