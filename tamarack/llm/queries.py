@@ -9,17 +9,20 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.llm.bpe import with_round_trip
 from tamarack.llm.common import table, without_spaces
 from tamarack.llm.exact_dedup import exact_groups
 from tamarack.llm.license_scan import license_scan
 from tamarack.llm.mixing import mix
 from tamarack.llm.packing import packed
+from tamarack.llm.phrases import collocations
 from tamarack.llm.quality import THRESHOLD, held_out, with_quality
 from tamarack.llm.sharding import sharded
 from tamarack.llm.shingle_join import near_duplicates
 from tamarack.llm.token_counts import with_token_counts
 from tamarack.llm.url_filter import url_verdicts
 from tamarack.llm.vector_search import build_indexes, search
+from tamarack.llm.whitening import whitened
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +113,24 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(c("_id").alias("doc_id"), c("n").alias("n_shingles"), c("component").alias("component_id"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened(table(spark, folder, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents")).drop("k")
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = with_round_trip(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 #: Queries by name; each is one dealt operator over its whole table.
 QUERIES: dict[str, Query] = {
     f.__name__: f
@@ -124,6 +145,9 @@ QUERIES: dict[str, Query] = {
         op8_license_scan,
         op9_token_counts,
         op10_ngram_join,
+        op11_whitening,
+        op12_collocations,
+        op13_bpe,
     )
 }
 
@@ -163,4 +187,42 @@ SQL: dict[str, str] = {
         SELECT a.doc_id, len(a.s) AS n_shingles, min(b.doc_id) AS component_id
         FROM reached JOIN sets a ON a.r = reached.x JOIN sets b ON b.r = reached.y GROUP BY a.r, a.doc_id, a.s
     """,
+    "op12_collocations": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS r, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), split AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+        ), counts AS (
+            SELECT lang, m, phrase, count(*) AS f FROM (
+                SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+                FROM split, (SELECT unnest([1, 2, 3, 4, 5]) AS m)
+            ) GROUP BY ALL
+        ), totals AS (
+            SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY lang
+        ), frequent AS (
+            SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 100
+        ), longer AS (
+            SELECT lang, array_to_string(w[2:], ' ') AS phrase, f FROM frequent WHERE m > 2
+            UNION ALL SELECT lang, array_to_string(w[:m - 1], ' '), f FROM frequent WHERE m > 2
+        ), kept AS (
+            SELECT * FROM frequent a WHERE m > 1 AND NOT EXISTS (
+                FROM longer b WHERE b.lang = a.lang AND b.phrase = a.phrase AND 100 * b.f >= 100 * a.f)
+        ), cuts AS (
+            SELECT lang, phrase, f AS a, w, unnest(range(1, m)) AS k FROM kept
+        ), scores AS (
+            SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n,
+                ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts c JOIN totals t ON t.lang = c.lang
+            JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ')
+            JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+        ), lowest AS (
+            SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER best AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+        FROM lowest
+        WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+        QUALIFY rank <= 2000
+    """,
 }
