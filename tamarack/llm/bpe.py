@@ -393,9 +393,20 @@ def id_list(ids: Column) -> Column:
     return of(ids)
 
 
-def with_round_trip(
-    docs: DataFrame, ids: str = "ids", decoded: str = "decoded", text_column: str = "text", vocabulary_name: str = VOCABULARY
-) -> DataFrame:
-    """``docs`` with the packed ids of the text and the text that they decode to."""
-    encoded = docs.withColumn(ids, token_ids(F.col(text_column), vocabulary_name))
-    return encoded.withColumn(decoded, decoded_text(F.col(ids), vocabulary_name))
+def round_trip(text: Column, vocabulary_name: str = VOCABULARY) -> Column:
+    """Struct of each text's packed ids and the text that they decode to; each text is encoded once."""
+
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def of(texts: pa.Array) -> pa.Array:
+        voc, ids, decoded = vocabulary(vocabulary_name), [], []
+        for t in texts.cast(pa.large_string()).to_pylist():
+            ids.append(b"".join(encode(voc, t or "")))
+            decoded.append("".join(decode(voc, ids[-1])))
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    return of(text.cast("string"))
+
+
+def with_round_trip(docs: DataFrame, name: str = "bpe", text_column: str = "text", vocabulary_name: str = VOCABULARY) -> DataFrame:
+    """``docs`` and a struct column ``name`` with the packed ids of the text and the text that they decode to."""
+    return docs.withColumn(name, round_trip(F.col(text_column), vocabulary_name))

@@ -125,9 +125,9 @@ def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rows = with_round_trip(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.octet_length("bpe.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("bpe.ids", 256).alias("ids_sha256"),
+        F.sha2("bpe.decoded", 256).alias("decoded_sha256"),
     )
 
 
