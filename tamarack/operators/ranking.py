@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,6 +65,17 @@ def rank_in_group(keys: Sequence[str], column: str, direction: str = "asc") -> C
     return F.rank().over(Window.partitionBy(*keys).orderBy(sort_key(column, direction)))
 
 
+def _range_of(cuts: Column, most: int, passed: Callable[[Column], Column]) -> Column:
+    """How many of at most ``most`` cuts, which stand in order, the row has passed: found by halving, not by a look at each."""
+    halves = [1 << i for i in reversed(range(most.bit_length()))]
+
+    def step(low: Column, half: Column) -> Column:
+        at = low + half
+        return F.when((at <= F.size(cuts)) & passed(F.get(cuts, at - 1)), at).otherwise(low)
+
+    return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step)
+
+
 def rank_global(df: DataFrame, column: str, name: str, buckets: int | None = None) -> DataFrame:
     """Rank of every row by a numeric column, largest first, without a one-task sort.
 
@@ -82,7 +93,7 @@ def rank_global(df: DataFrame, column: str, name: str, buckets: int | None = Non
         counts.withColumn("_cuts", cuts)
         .withColumn(
             "_range",
-            F.when(value.isNull(), F.lit(buckets + 1)).otherwise(F.size(F.filter("_cuts", lambda c: c < value))),
+            F.when(value.isNull(), F.lit(buckets + 1)).otherwise(_range_of(F.col("_cuts"), buckets, lambda c: c < value)),
         )
         .drop("_cuts")
     )
@@ -106,15 +117,15 @@ def rank_global(df: DataFrame, column: str, name: str, buckets: int | None = Non
     return df.join(ranks, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
 
 
-def _comes_before(cut: Column, keys: Sequence[Key]) -> Column:
-    """Whether the cut, a struct of key values, stands before the row in the order."""
+def _comes_before(a: Column, b: Column, keys: Sequence[Key]) -> Column:
+    """Whether ``a`` stands before ``b`` in the order; both are structs of key values."""
     before, tied = F.lit(False), F.lit(True)
-    for i, (column, *rest) in enumerate(keys):
+    for i, (_, *rest) in enumerate(keys):
         direction = rest[0] if rest else "asc"
-        a, b = cut[f"k{i}"], F.col(column) if isinstance(column, str) else column
-        first = (a.isNull() & b.isNotNull()) if _place(direction, *(rest[1:] or [None])) == "first" else (a.isNotNull() & b.isNull())
-        less = first | F.coalesce(a < b if direction == "asc" else a > b, F.lit(False))
-        before, tied = before | (tied & less), tied & a.eqNullSafe(b)
+        x, y = a[f"k{i}"], b[f"k{i}"]
+        first = (x.isNull() & y.isNotNull()) if _place(direction, *(rest[1:] or [None])) == "first" else (x.isNotNull() & y.isNull())
+        less = first | F.coalesce(x < y if direction == "asc" else x > y, F.lit(False))
+        before, tied = before | (tied & less), tied & x.eqNullSafe(y)
     return before
 
 
@@ -122,16 +133,22 @@ def page(df: DataFrame, keys: Sequence[Key], number: int, size: int = fv.PAGE_SI
     """Page ``number`` (from 0) of the sorted rows; beyond the end, the last page.
 
     The sort keys must identify a row. The first page is a top-k. For any other
-    a few rows, picked by a hash of their keys, cut the order into ranges; rows
-    are counted per range, and only the ranges that hold the page are sorted.
+    a few rows, picked by a hash of their keys, cut the order into ranges; each
+    row finds its range by halving, rows are counted per range, and only the ranges that hold the page are sorted.
     Where the cuts lie decides the balance alone, not the result.
     """
     if number == 0:
         return order(df, keys).limit(size)
     values = F.struct(*[(F.col(k[0]) if isinstance(k[0], str) else k[0]).alias(f"k{i}") for i, k in enumerate(keys)])
     picked = df.select(values.alias("_cut")).orderBy(F.xxhash64(F.to_json("_cut")), F.to_json("_cut")).limit(ranges_for(df) - 1)
-    cuts = picked.agg(F.collect_list("_cut")).scalar()
-    ranged = df.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda cut: _comes_before(cut, keys)))).drop("_cuts")
+
+    def compared(a: Column, b: Column) -> Column:
+        return F.when(_comes_before(a, b, keys), F.lit(-1)).when(_comes_before(b, a, keys), F.lit(1)).otherwise(F.lit(0))
+
+    cuts = picked.agg(F.array_sort(F.collect_list("_cut"), compared)).scalar()
+    here = df.withColumns({"_cuts": cuts, "_here": values})
+    passed = _range_of(F.col("_cuts"), ranges_for(df), lambda cut: _comes_before(cut, F.col("_here"), keys))
+    ranged = here.withColumn("_range", passed).drop("_cuts", "_here")
     # as many rows as ranges meet in these windows
     upto, everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
     first = F.least(F.lit(number), F.greatest(F.ceil(F.sum("_n").over(everything) / size) - 1, F.lit(0))) * size

@@ -256,3 +256,33 @@ def test_audit_finds_each_kind_of_violation(spark):
     assert {r.rule: r.violations for r in found.collect()} == {
         "key": 2, "parent": 2, "hour.range": 2, "hour present": 1,
     }
+
+
+# --- ranges and refinement without a look at every cut or value ---
+
+
+@pytest.mark.parametrize("many", [0, 1, 2, 3, 7, 8, 20])
+def test_ranges_are_found_by_halving(spark, many):
+    cuts = [3 * i for i in range(many)]
+    df = spark.range(-2, 70).withColumn("cuts", F.lit(cuts) if cuts else F.expr("array()").cast("array<int>"))
+    for most in {many, many + 5}:
+        found = df.select("id", ranking._range_of(F.col("cuts"), most, lambda cut: cut < F.col("id")).alias("at")).collect()
+        assert all(r.at == sum(c < r.id for c in cuts) for r in found)
+
+
+def test_no_row_is_held_against_every_cut(spark):
+    df = spark.range(1000).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS v")
+    for made in (ranking.rank_global(df, "v", "rank"), ranking.page(df, [("v", "desc"), ("id",)], 5)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(filter(" not in plan and "aggregate(" in plan
+
+
+def test_a_narrow_middle_cell_is_divided(spark):
+    values = spark.range(200_001).selectExpr("struct('a' AS k) AS _group", "struct(1L AS c) AS _cell", "CAST(10000 + id / 100 AS DECIMAL(12,2)) AS v", "1L AS _n")
+    ends = values.agg(F.min("v"), F.max("v")).first()
+    placed = values.selectExpr("*", "0L AS _before", "100000L AS _lo", "100000L AS _hi", f"{ends[0]}BD AS _least", f"{ends[1]}BD AS _most")
+    once = medians._refined(placed, "v")
+    assert 0 < once.count() <= 200_001 // medians.PARTS + 2
+    assert 0 < medians._refined(once, "v").count() <= 2
+    df = values.selectExpr("_group.k", "v").union(spark.createDataFrame([("b", None), (None, 1), (None, 2)], "k string, v long").selectExpr("k", "CAST(v AS DECIMAL(12,2))"))
+    assert {r.k: r.m for r in medians.exact_median(df, ["k"], "v", "m").collect()} == {"a": 11000.0, None: 1.5}
