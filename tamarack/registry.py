@@ -102,23 +102,24 @@ def q10(t: StarTables) -> DataFrame:
 
 
 def audit_constraints(t: StarTables) -> DataFrame:
-    """The rules of the schema, and one that the line items are known to break: their two-part key repeats."""
-    tx, accounts, edges, hourly = t.transactions, t.accounts, t.network_edges, t.time_series_stats
+    """The rules of the schema, and one that the line items are known to break: their two-part key repeats.
+
+    Patterns are known by the parts, not by the transactions under test.
+    """
+    tx, accounts, edges, hourly, patterns = t.transactions, t.accounts, t.network_edges, t.time_series_stats, t.part_patterns
     return quality.audit(
         [
             quality.PrimaryKey("account_profiles.account_id is unique", accounts, "account_id"),
             quality.PrimaryKey("transactions.transaction_id is unique", tx, "transaction_id"),
             quality.PrimaryKey("time_series_stats.hour is unique", hourly, "hour"),
-            quality.PrimaryKey("fraud_patterns.fraud_pattern is unique", t.fraud_pattern_rates, "fraud_pattern"),
+            quality.PrimaryKey("part.p_partkey is unique", patterns, "p_partkey"),
             quality.PrimaryKey("lineitem.line is unique", t.lines, "line"),
             quality.not_null("network_edges.account_a is present", edges, "account_a"),
             quality.not_null("network_edges.account_b is present", edges, "account_b"),
             quality.ForeignKey("transactions.account_id is known", tx, "account_id", accounts, "account_id"),
             quality.ForeignKey("network_edges.account_a is known", edges, "account_a", accounts, "account_id"),
             quality.ForeignKey("network_edges.account_b is known", edges, "account_b", accounts, "account_id"),
-            quality.ForeignKey(
-                "transactions.fraud_pattern is known", tx, "fraud_pattern", t.fraud_pattern_rates, "fraud_pattern"
-            ),
+            quality.ForeignKey("transactions.fraud_pattern is known", tx, "fraud_pattern", patterns, "fraud_pattern"),
             quality.not_null("transactions.ts is present", tx, "ts"),
             quality.Check("transactions.hour_of_day is an hour", tx, "hour_of_day BETWEEN 0 AND 23"),
             quality.Check("transactions.day_of_week is a weekday", tx, "day_of_week BETWEEN 0 AND 6"),

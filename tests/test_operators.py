@@ -258,6 +258,23 @@ def test_audit_finds_each_kind_of_violation(spark):
     }
 
 
+def test_audit_reads_each_table_once_and_reports_empty_tables(spark, tmp_path):
+    spark.createDataFrame([("a",), ("a",), (None,)], "id string").write.parquet(f"{tmp_path}/t")
+    table, none = spark.read.parquet(f"{tmp_path}/t"), spark.createDataFrame([], "id string")
+    rules = [
+        quality.PrimaryKey("t.id", table, "id"),
+        quality.not_null("t.id present", table, "id"),
+        quality.ForeignKey("t.id in none", table, "id", none, "id"),
+        quality.ForeignKey("none.id in t", none, "id", table, "id"),
+        quality.PrimaryKey("none.id", none, "id"),
+    ]
+    found = quality.audit(rules)
+    assert {r.rule: r.violations for r in found.collect()} == {
+        "t.id": 2, "t.id present": 1, "t.id in none": 2, "none.id in t": 0, "none.id": 0,
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
 # --- ranges and refinement without a look at every cut or value ---
 
 
