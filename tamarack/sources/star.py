@@ -155,7 +155,7 @@ class StarTables:
         """The pattern that belongs to each part, whether or not a transaction shows it."""
         return self._read("part").selectExpr("p_partkey", "'pattern_' || (p_partkey % 7) AS fraud_pattern")
 
-    @property
+    @cached_property
     def fraud_patterns(self) -> DataFrame:
         return pattern_profile(self.transactions)
 
