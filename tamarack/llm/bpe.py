@@ -242,12 +242,16 @@ class Merger:
 class Encoder:
     """Characters of one text in, packed ids out, as soon as nothing that follows can change them."""
 
-    def __init__(self, voc: Vocabulary):
+    def __init__(self, voc: Vocabulary, specials: bool = True):
         self.voc, self.unread, self.tail = voc, "", ""
+        self.specials = specials  # else their strings are ordinary text
         self.merger: Merger | None = None  # for a run that goes on
         self.run = ""
 
     def feed(self, text: str) -> Iterator[bytes]:
+        if not self.specials:
+            yield from self._feed(text)
+            return
         text, at = self.unread + text, 0
         for found in self.voc.specials.finditer(text):
             yield from self._feed(text[at : found.start()])
@@ -332,9 +336,9 @@ def _last_cut(voc: Vocabulary, text: str) -> int:
     return 0
 
 
-def encode(voc: Vocabulary, text: str) -> Iterator[bytes]:
+def encode(voc: Vocabulary, text: str, specials: bool = True) -> Iterator[bytes]:
     """Packed ids of a text, block by block."""
-    encoder = Encoder(voc)
+    encoder = Encoder(voc, specials)
     for at in range(0, len(text), BLOCK):
         yield from encoder.feed(text[at : at + BLOCK])
     yield from encoder.close()

@@ -10,7 +10,8 @@ are then numbered within their length, and the numbers are looked up in the
 plan.
 
 Defined results: a null or empty text is one piece, the closing id alone;
-special-token strings in a text are ordinary text; repeated rows are packed
+texts and runs of blanks, letters or
+signs of any length are read whole; special-token strings in a text are ordinary text; repeated rows are packed
 each for itself; an empty table gives an empty result; of the columns of
 ``docs`` only id and text are read, so other names do not matter.
 """
@@ -18,6 +19,7 @@ each for itself; an empty table gives an empty result; of the columns of
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping
@@ -29,12 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.llm import bpe
 from tamarack.session import stored
 
 CAPACITY = 2_048
 #: Public byte-level vocabulary by name, as ids equal to those of ``byte_bpe_50k.json``; the id that closes a document.
 VOCABULARY, CLOSING = "byte_bpe_50k.tiktoken", 0
 
+#: The same vocabulary for the streaming transducer, and the runs that take it.
+STREAMING, LONG_RUN = "byte_bpe_50k.json", 50_000
+LONG = re.compile(f"(?<!\\s)\\s{{{LONG_RUN}}}|(?<!\\S)\\S{{{LONG_RUN}}}")
+
 Pattern = tuple[int, list[tuple[int, int]]]
 
 
@@ -50,6 +57,24 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str):
+    """A function from texts to ids. The tokenizer's splits recurse, so runs of ``LONG_RUN`` or more characters without
+    a change from blank to other characters or back go through the streaming transducer, which gives the same ids."""
+    plain = encoding(vocabulary).encode_ordinary
+
+    def encode(text: str) -> array:
+        if len(text) < LONG_RUN or LONG.search(text) is None:
+            return array("I", plain(text))
+        streaming = bpe.vocabulary(STREAMING)
+        ids = array("I")
+        for packed in bpe.encode(streaming, text, specials=False):
+            ids.frombytes(np.frombuffer(packed, bpe.PACKED).astype(np.uint32).tobytes())
+        return ids
+
+    return encode
+
+
 def pieces(ids: array, capacity: int) -> Iterator[tuple[int, int, int]]:
     """(start, length, crc32) of the pieces; only the first may be shorter than the others."""
     raw = np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
@@ -115,11 +140,11 @@ def token_pieces(docs: DataFrame, capacity: int, vocabulary: str, closing: int,
     """A row per piece, with its number within its length and task (``_part``, ``_local``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoding(vocabulary).encode_ordinary, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = array("I", encode(text or ""))
+                ids = encode(text or "")
                 ids.append(closing)
                 for number, (start, length, crc) in enumerate(pieces(ids, capacity)):
                     rows.append((doc_id, number, start, length, crc, part, seen[length]))

@@ -99,8 +99,20 @@ def scan(query: np.ndarray, blocks: list[np.ndarray], turned: list[np.ndarray],
     return np.concatenate(found)
 
 
+def in_range(rows: np.ndarray) -> np.ndarray:
+    most = np.abs(rows).max(axis=1, initial=0)
+    extreme = (most > 1e100) | (most < 1e-100)
+    if not extreme.any():
+        return rows
+    return np.ldexp(rows, np.where(extreme, -np.frexp(most)[1], 0)[:, None])
+
+
 def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; summed row by row, so that equal rows give equal numbers."""
+    """Cosines in double precision; summed row by row, so that equal rows give equal numbers.
+
+    Rows whose squares would leave the range of doubles are divided by a power of two first, which changes no digit.
+    """
+    rows, query = in_range(rows), in_range(query[None])[0]
     product = (rows * query).sum(axis=1)
     return product / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
