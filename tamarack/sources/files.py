@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,17 @@ from tamarack.sources import schemas
 _NO_TEXT = "\u0000"
 
 
+#: Spellings of booleans, in any case, that a bulk load accepts (fixed values).
+_TRUE = ("t", "tr", "tru", "true", "y", "ye", "yes", "on", "1")
+_FALSE = ("f", "fa", "fal", "fals", "false", "n", "no", "of", "off", "0")
+
+
+def _boolean(name: str) -> Column:
+    text = F.lower(F.trim(F.col(name)))
+    wrong = F.raise_error(F.concat(F.lit(f"Malformed boolean in {name}: "), F.col(name))).cast("boolean")
+    return F.when(text.isNull(), F.lit(None)).when(text.isin(*_TRUE), F.lit(True)).when(text.isin(*_FALSE), F.lit(False)).otherwise(wrong)
+
+
 def load_csv(
     spark: SparkSession,
     path: str,
@@ -22,6 +33,8 @@ def load_csv(
     into: str,
     columns: Sequence[str] | None = None,
     multi_line: bool = False,
+    violations: dict[str, int] | None = None,
+    checks: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Bulk load of CSV with a header into a typed Parquet table in the new folder ``into``, which is returned.
 
@@ -29,17 +42,31 @@ def load_csv(
     load whichever columns are read later. Fields are taken by position.
     ``columns`` names the fields of the file where it lacks some of the
     schema's; the missing ones are NULL. An unquoted empty field is NULL, a
-    quoted one is empty text. Booleans are ``true`` and ``false`` in any case.
+    quoted one is empty text. Booleans are true, yes, on, 1, false, no, off, 0 and
+    their beginnings, in any case. ``checks`` are conditions by name: while the
+    rows are written, those for which one is false are counted into
+    ``violations``; NULL passes, as in SQL, and every row is loaded.
     Fields with line breaks need ``multi_line``, which reads each file in one
     task.
     """
     given = schema if columns is None else T.StructType([schema[c] for c in columns])
-    reader = spark.read.schema(given).option("header", True).option("mode", "FAILFAST").option("enforceSchema", True)
+    texts = T.StructType([T.StructField(f.name, T.StringType() if f.dataType == T.BooleanType() else f.dataType) for f in given])
+    reader = spark.read.schema(texts).option("header", True).option("mode", "FAILFAST").option("enforceSchema", True)
     reader = reader.option("multiLine", multi_line).option("escape", '"').option("nullValue", _NO_TEXT)
     loaded = reader.csv(path).select(
-        *[F.col(f.name) if f.name in given.names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        *[
+            F.lit(None).cast(f.dataType).alias(f.name)
+            if f.name not in given.names
+            else (_boolean(f.name).alias(f.name) if f.dataType == T.BooleanType() else F.col(f.name))
+            for f in schema
+        ]
     )
-    loaded.write.parquet(into)
+    if checks and violations is not None:
+        seen = Observation()
+        loaded.observe(seen, *[F.count_if(~F.expr(condition)).alias(name) for name, condition in checks.items()]).write.parquet(into)
+        violations |= seen.get
+    else:
+        loaded.write.parquet(into)
     return spark.read.schema(schema).parquet(into)
 
 
