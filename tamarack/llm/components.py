@@ -5,35 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.operators.joins import divisible_join
 from tamarack.session import stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest node it or its neighbours have."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return divisible_join(both.filter("v > u"), smallest, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    smallest = down.groupBy("u").agg(F.min("v").alias("m"))
-    return divisible_join(down, smallest, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v")))
-
-
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest key of its component) of all nodes but the roots; links have long u and v.
 
-    Every round is written to the shared folder, so lineage stays short and a
-    lost executor costs a re-read. A hub is divided among tasks. Rounds grow with the logarithm of the longest
-    chain; they end when one changes nothing.
+    A large star links every larger neighbour of a node to the smallest of the node and its neighbours; a small
+    star links a node and its smaller neighbours to the smallest of these. Each link becomes one link, so their
+    number never grows. Every step is written to the shared folder: lineage stays short, a lost executor costs a
+    re-read, and a join with one row per node is a broadcast or a join that divides a hub, as the measured size
+    asks. Rounds grow with the logarithm of the longest chain; they end when every node has but one neighbour,
+    a smaller one, or only larger ones.
+
+    Defined results: no links, or links of a node with itself alone, give no rows; repeated and reversed links count
+    once; a link with a null end is left out.
     """
-    edges, before = stored(links.select("u", "v").filter("u != v").distinct(), "links"), None
+    edges = links.select("u", "v").filter("u != v")
     while True:
-        edges = stored(_small_star(_large_star(edges)).filter("u != v").distinct(), "links")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("high")), "nearest")
+        if near.filter("m < u AND m != high").isEmpty():
+            return near.filter("m < u").select(F.col("u").alias("node"), F.col("m").alias("root"))
+        large = both.filter("v > u").join(near.select("u", F.least("m", "u").alias("m")), "u")
+        large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "smallest")
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = stored(small, "small-star")

@@ -15,7 +15,8 @@ are fewer signatures than tokens.
 Candidates are verified exactly. Each class is first compared with one other
 class of its signatures, round after round, until no new link turns up: groups
 of near copies become components by stars, not by pairs. Then all candidates
-that still lie in different components are compared. No link between classes of
+that still lie in different components and may be similar by their sizes and their overlaps with a
+common third set are compared. No link between classes of
 different components is lost, which is all that components need.
 
 Shuffled are tokens packed by bucket (8 bytes and a little for each), then only
@@ -47,10 +48,12 @@ from tamarack.session import stored
 WORDS, PERCENT = 5, 80
 #: Tokens of more classes than this are frequent.
 FREQUENT = 32
-#: Centers that a class is compared with in a round; rounds without a new link that are suffered before all that is left is compared.
-PARTNERS, IDLE_ROUNDS = 3, 0
-#: Groups of more classes than this get a pivot; below, all pairs are as cheap.
-PIVOT_FROM = 8
+#: Centers that a class is compared with in a round.
+PARTNERS = 3
+#: Bands of sizes grow by more than similar sizes differ; overlaps with a pivot differ by less than this share of the smaller
+#: size, which is (100 - PERCENT) / (100 + PERCENT) of both sizes. Both have a hundredth to spare for rounding.
+STEP = 1.01 * 100 / PERCENT
+REACH = 1.01 * (100 - PERCENT) / (100 + PERCENT) * (1 + 100 / PERCENT)
 #: Tokens gathered in a task before they are sent; tokens that a bucket has on average at most; bytes hashed at a time.
 FLUSH, BUCKET_TOKENS, BLOCK = 2_000_000, 2_000_000, 1 << 18
 
@@ -310,7 +313,7 @@ def signatures(n: int, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-SETS = "key long, n int, tokens array<long>, signatures array<long>"
+SETS = "key long, n int, shared int, tokens array<long>, signatures array<long>"
 
 
 def _assemble(table: pa.Table) -> pa.Table:
@@ -324,15 +327,15 @@ def _assemble(table: pa.Table) -> pa.Table:
         first = np.r_[True, (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])]
         keys, sizes, tokens, counts = keys[first], sizes[first], tokens[first], counts[first]
     start, length = _runs(keys)
-    kept = [[], [], [], []]
+    kept = [[], [], [], [], []]
     for low, size in zip(start, length, strict=True):
         own = tokens[low : low + size]
         found = signatures(int(sizes[low]), own, counts[low : low + size])
         if len(found):
-            for column, value in zip(kept, (int(keys[low : low + 1].view(np.int64)[0]), int(sizes[low]), own.view(np.int64), found.view(np.int64)), strict=True):
+            for column, value in zip(kept, (int(keys[low : low + 1].view(np.int64)[0]), int(sizes[low]), len(own), own.view(np.int64), found.view(np.int64)), strict=True):
                 column.append(value)
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.table([pa.array(c, k) for c, k in zip(kept, kinds, strict=True)], names=["key", "n", "tokens", "signatures"])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.table([pa.array(c, k) for c, k in zip(kept, kinds, strict=True)], names=["key", "n", "shared", "tokens", "signatures"])
 
 
 # --- candidates, links, components ----------------------------------------------------------
@@ -358,34 +361,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def class_links(sets: DataFrame) -> DataFrame | None:
     """node, root of all classes that are linked with a smaller key, or None if nothing is linked."""
-    members = sets.select("key", "n", F.size("tokens").alias("shared"), F.explode("signatures").alias("signature"))
-    groups = members.groupBy("signature").count().filter("count > 1").select("signature")
-    members = stored(members.join(stored(groups, "shingle-groups"), "signature"), "shingle-members")
-    links, roots, turn, idle = None, None, 0, 0
+    members = sets.select("key", "n", "shared", F.explode("signatures").alias("signature"))
+    links, roots, turn = None, None, 0
+    own = (F.col("n") - F.col("shared")).cast("long")
     while True:
         now = members.withColumn("part", F.col("key"))
         if roots is not None:
             now = members.join(roots, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("root", "key")).drop("node", "root")
         # first the class with the fewest tokens of its own, the most like all others; then any
-        first = (F.col("n") - F.col("shared")).cast("long") if turn == 0 else F.xxhash64("key", F.lit(turn))
+        first = own if turn == 0 else F.xxhash64("key", F.lit(turn))
         center = F.min(F.struct(first.alias("first"), "key", "n", "shared", "part")).alias("center")
-        spread = now.groupBy("signature").agg(F.min("part").alias("low"), F.max("part").alias("high"), center)
-        now = now.join(stored(spread.filter("low != high"), "shingle-open"), "signature")
-        if idle > IDLE_ROUNDS:
-            break
+        pivot = F.min(F.struct(own.alias("own"), "key"))["key"].alias("pivot")
+        spread = now.groupBy("signature").agg(F.min("part").alias("low"), F.max("part").alias("high"), center, pivot)
+        # a group within one component stays so and is not looked at again
+        now = stored(now.join(stored(spread.filter("low != high").drop("low", "high"), "shingle-open"), "signature"), "shingle-members")
         meet = now.filter("part != center.part").select(
             F.col("key").alias("x"), F.col("n").alias("x_n"), "shared", *[F.col(f"center.{a}").alias(b) for a, b in (("key", "y"), ("n", "y_n"), ("shared", "y_shared"))]
         )
         # of the centers of its groups a class is compared with those that it shares most groups with
         often = F.slice(F.sort_array(F.collect_list(F.struct("count", "y")), asc=False), 1, PARTNERS)
-        pairs = _possible(meet).groupBy("x", "y").count().groupBy("x").agg(often.alias("often"))
+        pairs = _possible(meet).select("x", "y").repartition("x").groupBy("x", "y").count().groupBy("x").agg(often.alias("often"))
         found = _verified(pairs.select("x", F.explode("often.y").alias("y")), sets)
-        turn += 1
         if found.isEmpty():
-            idle += 1
-            continue
+            break
         roots = components(found if links is None else links.union(found))
         links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        members = now.select("key", "n", "shared", "signature")
+        turn += 1
 
     found = _verified(_rest(now, sets), sets)
     if found.isEmpty():
@@ -396,27 +398,37 @@ def class_links(sets: DataFrame) -> DataFrame | None:
 def _rest(now: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs of different components that share a signature and may be similar.
 
-    In groups of more than ``PIVOT_FROM`` classes the exact overlap of each class
-    with one of them, the pivot, bounds the overlap of any two: what they share
-    is in the pivot, no more than either has there, or outside of it. Near
-    copies share many groups, mostly with one pivot; they meet once for it.
+    The exact overlap of each class with one of its group, the pivot, bounds the
+    overlap of any two: what they share is in the pivot, no more than either has
+    there, or outside of it. Near copies share many groups, mostly with one
+    pivot; they meet once for it. Of the classes of a pivot only those meet
+    whose sizes and whose overlaps with the pivot are near enough (``_bands``).
     """
-    now = now.select("signature", "key", "n", "shared", "part")
-    own = F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), F.col("key").alias("pivot")))
-    large = now.groupBy("signature").agg(own.alias("least"), F.count("*").alias("many")).filter(F.col("many") > PIVOT_FROM)
-    pivots = stored(large.select("signature", "least.pivot"), "shingle-pivots")
-    now = stored(now.join(pivots, "signature", "left"), "shingle-rest")
-    met = now.filter("pivot IS NOT NULL AND pivot != key").select(F.col("key").alias("x"), F.col("pivot").alias("y")).distinct()
+    met = now.filter("pivot != key").select(F.col("key").alias("x"), F.col("pivot").alias("y")).distinct()
     common = _overlaps(met, sets).select(F.col("x").alias("key"), F.col("y").alias("pivot"), "overlap")
-    place = F.struct(F.col("pivot").isNull().alias("small"), F.coalesce("pivot", "signature").alias("of")).alias("place")
-    here = now.select(place, "key", "n", "shared", "part", "pivot").distinct().join(stored(common, "shingle-overlaps"), ["key", "pivot"], "left")
-    here = stored(here.select("place", "key", "n", "shared", "part", F.coalesce("overlap", "shared").alias("inside")), "shingle-rest")
-    other = here.select("place", *[F.col(a).alias(b) for a, b in (("key", "y"), ("n", "y_n"), ("shared", "y_shared"), ("part", "y_part"), ("inside", "y_inside"))])
-    rest = here.withColumnsRenamed({"key": "x", "n": "x_n"}).join(other, "place").filter("part < y_part")
+    here = now.select("key", "n", "shared", "part", "pivot").distinct().join(stored(common, "shingle-overlaps"), ["key", "pivot"], "left")
+    here = stored(here.select("pivot", "key", "n", "shared", "part", F.coalesce("overlap", "shared").alias("inside")), "shingle-rest")
+    smaller, larger = _bands(here)
+    other = larger.select("pivot", "band", "cell", *[F.col(a).alias(b) for a, b in (("key", "y"), ("n", "y_n"), ("shared", "y_shared"), ("part", "y_part"), ("inside", "y_inside"))])
+    rest = smaller.withColumnsRenamed({"key": "x", "n": "x_n"}).join(other, ["pivot", "band", "cell"])
+    rest = rest.filter("part != y_part AND (x_n < y_n OR x_n = y_n AND x < y)")
     bound = "least(inside, y_inside) + least(shared - inside, y_shared - y_inside)"
     return _possible(rest).filter(F.expr(_similar(bound))).select("x", "y").distinct()
 
 
+def _bands(here: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows as the smaller and as the larger one of a pair, with ``band`` and ``cell``; a pair that the bounds allow agrees in both once.
+
+    Sizes of similar sets differ by a factor of 100 / PERCENT at most, so the larger one lies in the smaller one's band of sizes
+    or in the next. Overlaps with the pivot that differ by d lower the bound to (x_n + y_n - d) / 2, so d is at most
+    ``REACH`` of the smaller size, and cells of that width are equal or neighbours.
+    """
+    band, cell = f"CAST(floor(ln(n) / ln({STEP})) AS INT)", f"CAST(floor(inside / ({REACH} * pow({STEP}, band + 1))) AS INT)"
+    smaller = here.withColumn("band", F.expr(band)).withColumn("cell", F.explode(F.expr(f"transform(array(-1, 0, 1), i -> i + {cell})")))
+    larger = here.withColumn("band", F.explode(F.expr(f"transform(array(0, 1), i -> {band} - i)"))).withColumn("cell", F.expr(cell))
+    return smaller, larger
+
+
 def _possible(pairs: DataFrame) -> DataFrame:
     """Pairs whose sizes, and whose numbers of tokens that others have as well, allow the similarity."""
     sizes = f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n)"

@@ -163,6 +163,40 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 201)}, 1000: 0, 2001: 2000, 2002: 2000, 3000: 2000}
 
 
+def test_components_of_awkward_links(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    pairs += pairs[:50] + [(b, a) for a, b in pairs[:50]] + [(500, None), (None, None)]
+    roots = roots_of(400, [p for p in pairs if None not in p])
+    least = {r: min(i for i in range(400) if roots[i] == r) for r in set(roots)}
+    got = [(r["node"], r["root"]) for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()]
+    assert sorted(got) == [(i, least[roots[i]]) for i in range(400) if least[roots[i]] != i]
+    assert components(spark.createDataFrame([(4, 4)], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_bands_lose_no_possible_pair(spark):
+    """Every pair that sizes and the pivot's bound allow meets exactly once, and few others do."""
+    rng = random.Random(12)
+    rows = []
+    for key in range(700):
+        n = rng.choice([1, 2, 4, 5, 8, 10, 64, 80, 100, 125, rng.randrange(1, 3000)])
+        shared = rng.randrange(n) + 1
+        rows.append((key, n, shared, rng.choice([0, shared, rng.randrange(shared + 1)])))
+    here = spark.createDataFrame(rows, "key long, n int, shared int, inside int")
+    smaller, larger = shingle_join._bands(here)
+    met = smaller.alias("a").join(larger.alias("b"), ["band", "cell"]).select("a.key", F.col("b.key").alias("other"))
+    got = Counter((r["key"], r["other"]) for r in met.collect())
+    want = set()
+    for x, n, shared, inside in rows:
+        for y, m, y_shared, y_inside in rows:
+            bound = min(inside, y_inside) + min(shared - inside, y_shared - y_inside)
+            if (n, x) < (m, y) and 100 * n >= 80 * m and 180 * bound >= 80 * (n + m):
+                want.add((x, y))
+    assert len(want) > 500 and all(got[pair] == 1 for pair in want)
+    assert max(got.values()) == 1 and len(got) < len(rows) ** 2 / 4
+
+
 def test_one_per_component(spark, tmp_path):
     docs = spark.read.parquet(f"{write_documents(tmp_path)}/documents.parquet")
     kept = shingle_join.one_per_component(docs)
