@@ -1,7 +1,7 @@
 """URL filter: ordered host and path rules, then logistic regression on hashed character n-grams.
 
 The regression reads n-grams of host and path, each marked with its field, and
-is fitted on a small labelled URL table: ``SAMPLE_ROWS`` rows at most, whatever
+is fitted on a small labelled URL table: ``sample_rows`` rows at most, whatever
 the table given. All of it is DataFrame work; no row passes through Python.
 
 Defined results: a null url, or one without ``://``, has empty host and path
@@ -62,14 +62,22 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def grams(host: Column, path: Column, lengths: Sequence[int] = GRAMS) -> Column:
-    """Distinct character n-grams of both fields; ``^`` and ``$`` mark their ends."""
+    """Distinct character n-grams of both fields; ``^`` and ``$`` mark their ends.
 
-    def of(mark: str, field: Column, n: int) -> Column:
-        text = F.concat(F.lit("^"), field, F.lit("$"))
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
+    Each field is split into characters once and bound to a lambda variable, so
+    that the time is linear in its length: an expression inside a lambda is
+    evaluated for every element, and a substring is looked for from the start.
+    """
+
+    def starting(mark: str, chars: Column, n: int) -> Column:
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), *[F.get(chars, i + k) for k in range(n)]))
+
+    def of(mark: str, field: Column) -> Column:
+        chars = F.split(F.concat(F.lit("^"), field, F.lit("$")), "")
+        return F.transform(F.array(chars), lambda c: F.concat(*[starting(mark, c, n) for n in lengths]))
 
-    return F.array_distinct(F.concat(*[of(mark, field, n) for mark, field in (("h", host), ("p", path)) for n in lengths]))
+    return F.array_distinct(F.flatten(F.concat(of("h", host), of("p", path))))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
@@ -94,14 +102,15 @@ def url_verdicts(
     carry: Sequence[str] | None = None,
     url_column: str = "url",
     threshold: float = THRESHOLD,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """Per row ``_row``, ``_host``, ``_path``, ``_rule``, ``_score`` (probability of block) and ``_verdict``.
 
-    ``labelled`` has url and blocked (0 or 1; other rows are left out).
+    ``labelled`` has url and blocked (0 or 1; other rows are left out); fitted are the ``sample_rows`` of smallest url hash.
     """
     labelled = labelled_urls(pages.sparkSession) if labelled is None else labelled
     host, path = parts(F.col("url"))
-    usable = labelled.filter("blocked IN (0, 1)").limit(SAMPLE_ROWS)
+    usable = labelled.filter("blocked IN (0, 1)").orderBy(F.xxhash64("url"), "url", "blocked").limit(sample_rows)
     train = _features(usable.select(F.col("blocked").cast("double").alias("_label"), host.alias("_host"), path.alias("_path")))
     classes = train.select("_label").distinct().count()
 

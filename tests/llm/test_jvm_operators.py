@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -191,6 +193,26 @@ def test_url_edges(spark):
         assert verdict in (None, r["_verdict"])
 
 
+def test_url_grams_by_brute_force(spark):
+    fields = [("", ""), ("a", "/"), ("host.example", "/en/1"), ("ü😀é.org", "/😀😀😀/日本語日本語"), ("aaaaaaaa", "/" + "ab" * 40)]
+    frame = spark.createDataFrame(fields, "host string, path string")
+    for r in frame.select("*", url_filter.grams(F.col("host"), F.col("path")).alias("found")).collect():
+        marked = (("h", f"^{r['host']}$"), ("p", f"^{r['path']}$"))
+        want = {mark + text[i : i + n] for mark, text in marked for n in (3, 4, 5) for i in range(len(text) - n + 1)}
+        assert len(r["found"]) == len(want) and set(r["found"]) == want
+
+
+def test_long_urls_take_linear_time(spark):
+    """A path of a million characters; by substrings from the start one of a tenth did not end in 40 s."""
+    rng = random.Random(3)
+    path = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789/") for _ in range(1_000_000))
+    pages = spark.createDataFrame([(1, f"https://host.example/{path}"), (2, "https://host.example/")], "page_id long, url string")
+    began = time.monotonic()
+    out = {r["_row"]["page_id"]: r for r in url_filter.url_verdicts(pages).collect()}
+    assert out[1]["_path"] == f"/{path}" and 0 <= out[1]["_score"] <= 1
+    assert time.monotonic() - began < 60
+
+
 def test_url_model_separates_unseen_hosts(spark):
     bad = ["m.casino-win.example.com", "free-bets.example.com", "ads-track.example.org", "cheap-pills.example.org"]
     good = ["thther.example.org", "www.ththen.example.com", "weather-station.example.org", "blog.tionsh.example.com"]
