@@ -9,8 +9,9 @@ stands alone are never shuffled.
 Defined results: a null text counts as empty; of equal texts the row with the
 most code points stays, then the smallest id (null last), then any one of
 rows that agree in both; repeated rows are rows of their own, of which one
-stays; an empty table gives an empty result; columns of any name pass through,
-since a row travels as one struct.
+stays; texts of any length are hashed whole, the prefix only spares work; an empty
+table gives an empty result; columns of any name pass through, since a row
+travels as one struct.
 """
 
 from __future__ import annotations

@@ -7,8 +7,12 @@ sources of few documents of unlike size would else stray far.
 
 Defined results: a null text has size 0; the null source is a source, the last
 one; a source without words has target 0 and rate 0; rows that repeat an id are
-drawn alike; an empty table gives an empty result. Columns of any name pass
-through, since a row travels as one struct.
+drawn alike; of seeds that come equally near the smallest is used; a text of any
+length is read whole and counts with all its words; an empty table gives an empty
+result. Columns of any name pass through, since a row travels as one struct.
+
+Since the best of several seeds is used, a copy's probability is not quite the
+fraction: documents whose draws bring the source nearer to its target gain.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ orders what it gets by a second hash, range by range of that hash, so that no
 shard is one task's work.
 
 Defined results: a null text has no bytes and the checksum of no bytes; rows
-that repeat are rows of their own; with fewer rows than shards the last shards
-stay empty; an empty table gives an empty result; columns of any name pass
+that repeat are rows of their own, and rows of equal hashes are ordered as they come;
+a text's length, however large, changes its size and checksum but not its place;
+with fewer rows than shards the last shards stay empty; an empty table gives an empty result; columns of any name pass
 through, since a row travels as one struct.
 """
 
