@@ -167,7 +167,10 @@ def _detections(words: Column, rule: Column) -> Column:
     """Intervals (start, end) in words of all places of one rule."""
     found = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
     pieces = F.split(words, rule["pattern"], F.lit(-1))
-    pairs = F.transform(found, lambda text, i: F.struct((word_count(F.concat(pieces[i], F.lit(" "))) - 1).alias("gap"), (word_count(text) + 1).alias("n")))
+    # side by side, since an expression inside a lambda, such as the split, would be evaluated for every place
+    gap, n = (lambda piece: word_count(F.concat(piece, F.lit(" "))) - 1), (lambda text: word_count(text) + 1)
+    pairs = F.zip_with(pieces, found, lambda piece, text: F.struct(gap(piece).alias("gap"), n(text).alias("n")))
+    pairs = F.filter(pairs, lambda pair: pair["n"].isNotNull())  # behind the last place stands a piece alone
     interval = "array<struct<start:bigint,end:bigint,label:string,place:int,priority:int,confidence:double>>"
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(interval).alias("all"))
 
