@@ -1,11 +1,15 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-How many rows each input partition sends to each shard is drawn first, exactly,
-from counts alone: partition by partition, shard by shard, hypergeometric draws
-from what is left, so that shard sizes differ by one at most. Each partition
-then orders its rows by a hash and deals them out by those counts; each shard
-orders what it gets by a second hash, range by range of that hash, so that no
-shard is one task's work.
+How many rows each group of input partitions sends to each shard is drawn first,
+exactly, from counts alone: group by group, shard by shard, hypergeometric draws
+from what is left, so that shard sizes differ by one at most. Each group then
+orders its rows by a hash and deals them out by those counts, which makes the
+counts of its single partitions hypergeometric as well; each shard orders what it
+gets by a second hash. Both orders go range by range of the hash, so that neither
+a large partition nor a shard is one task's work.
+
+There are ``GROUPS`` groups at most, whatever the input: the draws, their matrix
+and what the driver reads have a fixed bound.
 
 Defined results: a null text has no bytes and the checksum of no bytes; rows
 that repeat are rows of their own, and rows of equal hashes are ordered as they come;
@@ -16,18 +20,21 @@ through, since a row travels as one struct.
 
 from __future__ import annotations
 
-import json
 import math
 import random
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.llm.common import literal_table
 from tamarack.session import stored
 
 SHARDS, SEED = 40, 20_240_229
-#: Rows that one range of the second permutation has on average.
+#: Input partitions are dealt in so many groups at most, by their number modulo it.
+GROUPS = 256
+#: Rows that one range of a permutation has at most, on average.
 RANGE_ROWS = 50_000
 
 
@@ -62,7 +69,7 @@ def hypergeometric(random_state: random.Random, good: int, bad: int, draws: int)
 
 
 def communication_matrix(counts: Sequence[int], shards: int, seed: int = SEED) -> list[list[int]]:
-    """Rows that each partition sends to each shard; row sums are ``counts``, column sums differ by one at most."""
+    """Rows that each group sends to each shard; row sums are ``counts``, column sums differ by one at most."""
     random_state, total = random.Random(seed), sum(counts)
     left = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = []
@@ -77,6 +84,34 @@ def communication_matrix(counts: Sequence[int], shards: int, seed: int = SEED) -
     return matrix
 
 
+def _permuted(rows: DataFrame, key: str, seed: int, most: int, name: str) -> DataFrame:
+    """Adds ``name``: the place of each row, from 0, in a random order of the rows of its ``key``, ``most`` at most.
+
+    ``rows`` are read twice, so they come from a stored table.
+    """
+    bits = (most // RANGE_ROWS).bit_length()
+    order = F.xxhash64("_id", F.lit(seed))
+    ranged = rows.withColumns({"_order": order, "_range": F.shiftrightunsigned(order, 63 - bits)})
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(key, "_range").count().select(key, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    # unsigned order within a range is signed order, since a range has one sign
+    within = Window.partitionBy(key, "_range").orderBy("_order", "_id")
+    placed = ranged.withColumn("_at", F.row_number().over(within) - 1).join(starts, [key, "_range"])
+    return placed.withColumn(name, F.col("_start") + F.col("_at")).drop("_order", "_range", "_start", "_at")
+
+
+def dealt(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Adds ``_shard`` to stored rows that have ``_part``, the number of their input partition, and a distinct ``_id``."""
+    grouped = rows.withColumn("_group", F.pmod("_part", F.lit(GROUPS)))
+    sizes = sorted(tuple(r) for r in grouped.groupBy("_group").count().collect())  # GROUPS rows at most
+    counts = [n for _, n in sizes]
+    matrix = communication_matrix(counts, shards, seed)
+    ends = [{"_of": group, "_ends": list(accumulate(row))} for (group, _), row in zip(sizes, matrix, strict=True)]
+    dealing = literal_table(rows.sparkSession, ends, "_of: int, _ends: array<bigint>")
+    ranked = _permuted(grouped, "_group", seed, max(counts, default=0), "_rank").join(dealing, F.col("_group") == F.col("_of"))
+    return ranked.withColumn("_shard", F.size(F.filter("_ends", lambda end: end <= F.col("_rank")))).drop("_group", "_rank", "_of", "_ends")
+
+
 def sharded(
     docs: DataFrame, shards: int = SHARDS, seed: int = SEED, carry: Sequence[str] | None = None, weigh_column: str = "text"
 ) -> DataFrame:
@@ -95,27 +130,6 @@ def sharded(
         ),
         "shard-rows",
     )
-    # one count for each input partition
-    sizes = sorted(tuple(r) for r in rows.groupBy("_part").count().collect())
-    total = sum(n for _, n in sizes)
-    matrix = communication_matrix([n for _, n in sizes], shards, seed)
-    ends = [{"_of": part, "_ends": [sum(row[: s + 1]) for s in range(shards)]} for (part, _), row in zip(sizes, matrix, strict=True)]
-    schema = "_of: int, _ends: array<bigint>"
-    dealing = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ends)), f"array<struct<{schema}>>")))
-
-    local = Window.partitionBy("_part").orderBy(F.xxhash64("_id", F.lit(seed)), "_id")
-    dealt = (
-        rows.withColumn("_rank", F.row_number().over(local) - 1)
-        .join(dealing, F.col("_part") == F.col("_of"))
-        .withColumn("_shard", F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))))
-    )
-    bits = max(0, (total // shards // RANGE_ROWS).bit_length())
-    again = F.xxhash64("_id", F.lit(seed + 1))
-    ranged = dealt.select("_row", "_size", "_crc32", "_id", "_shard", again.alias("_order"), F.shiftrightunsigned(again, 63 - bits).alias("_range"))
-    ranged = stored(ranged, "shard-dealt")
-    before = Window.partitionBy("_shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_shard", "_range").count().select("_shard", "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    # unsigned order within a range is signed order, since a range has one sign
-    within = Window.partitionBy("_shard", "_range").orderBy("_order", "_id")
-    placed = ranged.withColumn("_at", F.row_number().over(within) - 1).join(starts, ["_shard", "_range"])
-    return placed.select("_row", "_size", "_crc32", "_shard", (F.col("_start") + F.col("_at")).alias("_slot"))
+    sent = stored(dealt(rows, shards, seed).drop("_part"), "shard-dealt")
+    most = -(-sent.count() // shards)  # the files' footers tell it
+    return _permuted(sent, "_shard", seed + 1, most, "_slot").select("_row", "_size", "_crc32", "_shard", "_slot")

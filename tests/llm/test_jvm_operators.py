@@ -252,6 +252,31 @@ def test_shards_over_several_ranges(spark, monkeypatch):
         assert ids != sorted(ids) and 300 < sum(ids) / len(ids) < 700
 
 
+def test_shards_of_very_many_partitions(spark, monkeypatch):
+    drawn, draw = [], sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda counts, *rest: drawn.append(counts) or draw(counts, *rest))
+    # partition 0 holds a third of all rows, 100,000 others the rest
+    part = F.when(F.col("id") < 100_000, F.lit(0)).otherwise(F.col("id") % 100_000 + 1)
+    rows = spark.range(300_011).select(F.col("id").alias("_id"), part.alias("_part"))
+    got = sharding.dealt(rows, shards=7)
+    sizes = {r["_shard"]: r["count"] for r in got.groupBy("_shard").count().collect()}
+    assert [len(x) for x in drawn] == [sharding.GROUPS] and sum(drawn[0]) == 300_011
+    assert sizes == {s: 300_011 // 7 + (s < 300_011 % 7) for s in range(7)}
+    assert got.select("_id").distinct().count() == 300_011
+    # the large partition is spread as chance has it: 14,286 rows a shard, standard deviation 90
+    hot = [r["count"] for r in got.filter("_part = 0").groupBy("_shard").count().collect()]
+    assert len(hot) == 7 and all(abs(n - 100_000 / 7) < 500 for n in hot)
+
+
+def test_no_task_has_a_whole_partition(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 1000)
+    rows = spark.range(64_000).select(F.col("id").alias("_id"), F.lit(3).alias("_part"))
+    ranked = sharding._permuted(rows, "_part", 1, 64_000, "_rank")
+    assert ranked.agg(F.min("_rank"), F.max("_rank"), F.count_distinct("_rank")).first()[:] == (0, 63_999, 64_000)
+    order = F.xxhash64("_id", F.lit(1))
+    assert rows.groupBy(F.shiftrightunsigned(order, 63 - (64).bit_length())).count().agg(F.max("count")).first()[0] < 2000
+
+
 def test_hypergeometric_follows_its_law():
     state = sharding.random.Random(5)
     drawn = Counter(sharding.hypergeometric(state, 8, 12, 10) for _ in range(20_000))
