@@ -36,6 +36,8 @@ K, MAX_LISTS, SAMPLE_PER_LIST, PROBED_SHARE, LEAST_PROBED = 5, 1024, 32, 0.75, 1
 CHUNK_ROWS, BLOCK_ROWS, FIRST, LAST = 8_192, 2_048, 64, 1_024
 #: Columns per block, and the strictness of the test: the probability of losing a true neighbour falls with its square.
 COLUMNS, EPSILON = 16, 2.1
+#: What rounding to single precision may change in the distance of two unit vectors.
+ROUNDING = 1e-5
 SEED = 20_230_601
 
 
@@ -68,11 +70,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def scan(query: np.ndarray, blocks: list[np.ndarray], turned: list[np.ndarray], k: int, skip: int = -1) -> np.ndarray:
+def scan(query: np.ndarray, blocks: list[np.ndarray], turned: list[np.ndarray], k: int, skip: int = -1, strictness: float = EPSILON) -> np.ndarray:
     """Rows that may be among the ``k`` nearest to ``query``; ``turned`` is the query in the same column blocks.
 
     The first step sets the k-th best and each step betters it; rows are dropped
-    as soon as their estimate is beyond it by more than the test allows.
+    as soon as their estimate is beyond it by more than the test allows; with an
+    infinite ``strictness`` none is before its whole distance is known.
     """
     n, d, found, bound = len(blocks[0]), sum(b.shape[1] for b in blocks), [], np.inf
     best, first, step = np.zeros(0), 0, FIRST
@@ -86,10 +89,10 @@ def scan(query: np.ndarray, blocks: list[np.ndarray], turned: list[np.ndarray],
             partial = partial + np.einsum("ij,ij->i", difference, difference)
             seen += block.shape[1]
             if seen < d and np.isfinite(bound):
-                stays = partial * (d / seen) <= bound * (1 + EPSILON / np.sqrt(seen)) ** 2
+                stays = partial * (d / seen) <= bound * (1 + strictness / np.sqrt(seen)) ** 2 + ROUNDING**2
                 rows, partial = rows[stays], partial[stays]
         # equal distances stay, and so does what rounding might have moved
-        stays = partial <= bound * (1 + 1e-6) + 1e-12
+        stays = partial <= (np.sqrt(bound) + ROUNDING) ** 2
         rows, partial = rows[stays], partial[stays]
         found.append(rows)
         best = np.concatenate([best, partial])
@@ -117,7 +120,7 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return product / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def _scan_cell(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+def _scan_cell(queries: pa.Table, rows: pa.Table, k: int, strictness: float) -> pa.Table:
     """The k best of one chunk for each query of one block."""
     names = ["query_at", "query_id", "vec_id", "at", "score"]
     out: list[list] = [[] for _ in names]
@@ -133,7 +136,7 @@ def _scan_cell(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         for i, (query_at, query_id) in enumerate(zip(queries.column("_at").to_pylist(), queries.column("_id").to_pylist(), strict=True)):
             own = np.searchsorted(at, query_at)
             own = own if own < len(at) and at[own] == query_at else -1
-            left = scan(turned[i], blocks, np.split(turned[i], list(cuts)), k, own)
+            left = scan(turned[i], blocks, np.split(turned[i], list(cuts)), k, own, strictness)
             if len(left):
                 score = exact(asked[i], x[left])
                 top = np.lexsort((at[left], ids[left], -score))[:k]
@@ -196,10 +199,10 @@ def _index(rows: DataFrame, d: int, n: int) -> Index:
     return Index(dealt, centers, [counts.get(i, 0) for i in range(len(centers))])
 
 
-def _probe(index: Index, k: int) -> callable:
+def _probe(index: Index, k: int, share: float) -> callable:
     """Nearest lists of each query: the probed share, and on until they hold more than k rows."""
     centers, sizes = index.centers, np.array(index.sizes)
-    least = max(LEAST_PROBED, int(np.ceil(PROBED_SHARE * len(sizes))))
+    least = max(LEAST_PROBED, int(np.ceil(share * len(sizes))))
 
     @F.arrow_udf("array<int>")
     def probe(vectors: pa.Array) -> pa.Array:
@@ -213,11 +216,15 @@ def _probe(index: Index, k: int) -> callable:
     return probe
 
 
-def search(index: Index, is_query: Column, k: int = K) -> DataFrame:
-    """The k nearest rows of each query (a condition on ``_id``): query_id, rank, vec_id, score."""
+def search(index: Index, is_query: Column, k: int = K, share: float = PROBED_SHARE, strictness: float = EPSILON) -> DataFrame:
+    """The k nearest rows of each query (a condition on ``_id``): query_id, rank, vec_id, score.
+
+    ``share`` of the lists are probed, 16 at least, and ``strictness`` is the margin of the test that abandons candidates.
+    ``share=1, strictness=math.inf`` is the exact search: every row is compared by its whole distance.
+    """
     spark = index.rows.sparkSession
     queries = index.rows.filter(is_query)
-    probing = stored(queries.select("_at", "_id", "_vec", F.explode(_probe(index, k)("_vec")).alias("_list")), "vector-probes")
+    probing = stored(queries.select("_at", "_id", "_vec", F.explode(_probe(index, k, share)("_vec")).alias("_list")), "vector-probes")
     asked = dict(map(tuple, probing.groupBy("_list").count().collect()))
     cells = [{"_of": i, "_chunks": -(-size // CHUNK_ROWS), "_blocks": -(-asked[i] // BLOCK_ROWS)} for i, size in enumerate(index.sizes) if asked.get(i) and size]
     # a row for each list, at most MAX_LISTS
@@ -232,7 +239,7 @@ def search(index: Index, is_query: Column, k: int = K) -> DataFrame:
     keys = ["_list", "_chunk", "_block"]
     left, right = dealt(probing, "_blocks", "_chunks").groupBy(*keys), dealt(index.rows, "_chunks", "_blocks").groupBy(*keys)
     schema = "query_at long, query_id long, vec_id long, at long, score double"
-    found = left.cogroup(right).applyInArrow(lambda a, b: _scan_cell(a, b, k), schema)
+    found = left.cogroup(right).applyInArrow(lambda a, b: _scan_cell(a, b, k, strictness), schema)
     best = Window.partitionBy("query_at").orderBy(F.desc("score"), "vec_id", "at")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -203,6 +203,21 @@ def test_recall(spark):
     assert hits / total >= 0.9, hits / total
 
 
+def test_exact_search_finds_all_that_brute_force_finds(spark):
+    random = np.random.default_rng(3)
+    around = random.standard_normal((12, 40))[random.integers(0, 12, 3000)]
+    # clusters from wide to so narrow that single precision hardly tells their members apart
+    x = around + random.standard_normal((3000, 40)) * 10.0 ** random.integers(-6, 1, 3000)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = vector_search.search(vector_search.build_index(rows), F.col("_id") % 50 == 0, share=1.0, strictness=np.inf).collect()
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found}
+    for q in range(0, 3000, 50):
+        score = vector_search.exact(x[q], x)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(3000), -score))[:5]
+        assert [got[q, i + 1] for i in range(5)] == [(i, score[i]) for i in best]
+
+
 def test_vector_edges(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     same = [1.0, 2.0, 3.0]
