@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tamarack import fixed_values as fv
 from tamarack.operators.filters import equals_all, text_search
+from tamarack.session import stored
 
 
 def _place(direction: str, nulls: str | None) -> str:
@@ -177,9 +178,11 @@ def table_view(
 ) -> DataFrame:
     """Search, filter, sort and page a result table, with the number of rows found.
 
-    ``unique`` names a column that identifies a row and settles ties.
+    ``unique`` names a column that identifies a row and settles ties. The rows
+    found are stored: their number, the cuts, the ranges and the page are read
+    from them, so that ``df`` is computed once.
     """
-    found = equals_all(text_search(df, search_columns, search), filters or {})
+    found = stored(equals_all(text_search(df, search_columns, search), filters or {}), "table-view")
     keys = [*([user_sort(df, *sort)] if sort else []), (unique, "asc")]
     shown = order(found, keys) if size is None else page(found, keys, number, size)
     return shown.withColumn("rows_found", found.agg(F.count("*")).scalar())

@@ -303,3 +303,18 @@ def test_a_narrow_middle_cell_is_divided(spark):
     assert 0 < medians._refined(once, "v").count() <= 2
     df = values.selectExpr("_group.k", "v").union(spark.createDataFrame([("b", None), (None, 1), (None, 2)], "k string, v long").selectExpr("k", "CAST(v AS DECIMAL(12,2))"))
     assert {r.k: r.m for r in medians.exact_median(df, ["k"], "v", "m").collect()} == {"a": 11000.0, None: 1.5}
+
+
+def test_a_table_view_computes_its_rows_once(spark):
+    """Every row bumps a counter when it is made; the count, the cuts and the page read the stored rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def marked(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(100).mapInArrow(marked, "id long").select(F.concat(F.lit("a"), "id").alias("id"), F.col("id").alias("score"))
+    view = ranking.table_view(df, "id", "a", ["id"], {}, ("score", "desc"), 1, 10)
+    assert [(r.score, r.rows_found) for r in view.collect()] == [(i, 100) for i in range(89, 79, -1)]
+    assert made.value == 100
