@@ -62,7 +62,19 @@ def synthetic_identity(
     weights: Mapping[str, float] = fv.SYNTHETIC_WEIGHTS,
     cuts: Sequence[tuple[float, str]] = fv.SYNTHETIC_CUTS,
 ) -> DataFrame:
-    """Suspicion score against the account's cohort; young accounts stay unscored.
+    """The scored accounts, the most suspicious first."""
+    result = scored_identities(account_profiles, min_age, clip, weights, cuts)
+    return order(result, [("synthetic_id_suspicion_score", "desc", "last"), ("account_id",)])
+
+
+def scored_identities(
+    account_profiles: DataFrame,
+    min_age: int = fv.MIN_AGE_DAYS,
+    clip: float = fv.Z_CLIP,
+    weights: Mapping[str, float] = fv.SYNTHETIC_WEIGHTS,
+    cuts: Sequence[tuple[float, str]] = fv.SYNTHETIC_CUTS,
+) -> DataFrame:
+    """Suspicion score against the account's cohort, in no order; young accounts stay unscored.
 
     Both groups of accounts pass through one scan: the left join leaves young
     accounts in place, and the age decides who is scored.
@@ -79,7 +91,7 @@ def synthetic_identity(
     verdict = banded(
         [(~mature, fv.SYNTHETIC_IMMATURE), *[(suspicion >= cut, text) for cut, text in cuts]], fv.SYNTHETIC_OK
     )
-    result = scored.select(
+    return scored.select(
         "account_id",
         "account_type",
         "home_country",
@@ -89,4 +101,3 @@ def synthetic_identity(
         verdict.alias("synthetic_id_verdict"),
         "is_fraudster",
     )
-    return order(result, [("synthetic_id_suspicion_score", "desc", "last"), ("account_id",)])

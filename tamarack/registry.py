@@ -37,7 +37,7 @@ from tamarack.plans.precrime_drift import clean_history, precrime_drift
 from tamarack.plans.resource_efficiency import resource_efficiency
 from tamarack.plans.response_lag import lag_cost, response_lag
 from tamarack.plans.ring_contagion import contagion_speed, ring_contagion
-from tamarack.plans.synthetic_identity import cohort_stats, identity_metrics, synthetic_identity
+from tamarack.plans.synthetic_identity import cohort_stats, identity_metrics, scored_identities, synthetic_identity
 from tamarack.plans.yoy_evolution import yearly_metrics, yoy_changes, yoy_evolution
 from tamarack.session import shared_folder
 from tamarack.sources import files, schemas
@@ -402,13 +402,15 @@ def srt_page_deep(t: StarTables) -> DataFrame:
 def srt_table_view(t: StarTables) -> DataFrame:
     wanted = {"synthetic_id_verdict": fv.SYNTHETIC_OK}
     return results.result_page(
-        q03(t), "synthetic_identity", "acc", wanted, ("synthetic_id_suspicion_score", "desc"), 1
+        scored_identities(t.account_profiles), "synthetic_identity", "acc", wanted, ("synthetic_id_suspicion_score", "desc"), 1
     )
 
 
 def srt_table_view_text(t: StarTables) -> DataFrame:
     """Sorted by a text column."""
-    return results.result_page(q03(t), "synthetic_identity", "", {}, ("account_type", "desc"), 2)
+    return results.result_page(
+        scored_identities(t.account_profiles), "synthetic_identity", "", {}, ("account_type", "desc"), 2
+    )
 
 
 def set_union_all_nulls(t: StarTables) -> DataFrame:
