@@ -34,6 +34,10 @@ from tamarack.session import stored
 K, MAX_LISTS, SAMPLE_PER_LIST, PROBED_SHARE, LEAST_PROBED = 5, 1024, 32, 0.75, 16
 #: Candidates in a chunk and queries in a block, which bound a task; candidates of the first step, which doubles up to the last.
 CHUNK_ROWS, BLOCK_ROWS, FIRST, LAST = 8_192, 2_048, 64, 1_024
+#: Queries whose distances are one matrix product, which bounds its memory.
+TOGETHER = 256
+#: One in so many pairs is few.
+FEW = 16
 #: Columns per block, and the strictness of the test: the probability of losing a true neighbour falls with its square.
 COLUMNS, EPSILON = 16, 2.1
 #: What rounding to single precision may change in the distance of two unit vectors.
@@ -71,35 +75,68 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def scan(query: np.ndarray, blocks: list[np.ndarray], turned: list[np.ndarray], k: int, skip: int = -1, strictness: float = EPSILON) -> np.ndarray:
-    """Rows that may be among the ``k`` nearest to ``query``; ``turned`` is the query in the same column blocks.
+    """Rows that may be among the ``k`` nearest to ``query``; ``turned`` is the query in the same column blocks."""
+    return scan_all(np.concatenate(turned)[None], blocks, k, np.array([skip]), strictness)[0]
 
-    The first step sets the k-th best and each step betters it; rows are dropped
-    as soon as their estimate is beyond it by more than the test allows; with an
+
+def scan_all(queries: np.ndarray, blocks: list[np.ndarray], k: int, skip: np.ndarray, strictness: float = EPSILON) -> list[np.ndarray]:
+    """For each query the rows that may be among its ``k`` nearest, ``skip`` (a row, or -1) left out.
+
+    Queries go together: a step's distances over a block of columns are one matrix product, until few (query, row)
+    pairs are left; these are measured again by their differences, block by block. The first step sets each query's k-th best and each step
+    betters it; pairs are dropped as soon as their estimate is beyond it by more than the test allows; with an
     infinite ``strictness`` none is before its whole distance is known.
     """
-    n, d, found, bound = len(blocks[0]), sum(b.shape[1] for b in blocks), [], np.inf
-    best, first, step = np.zeros(0), 0, FIRST
+    n, d = len(blocks[0]), sum(b.shape[1] for b in blocks)
+    asked = np.split(queries, np.cumsum([b.shape[1] for b in blocks])[:-1], axis=1)
+    norms = [[np.einsum("ij,ij->i", x, x) for x in side] for side in (asked, blocks)]
+    bound, best = np.full(len(queries), np.inf), np.full((len(queries), k), np.inf)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    first, step = 0, FIRST
+
+    def allowed(seen: int) -> np.ndarray:
+        if seen == d:  # equal distances stay, and so does what rounding might have moved
+            return (np.sqrt(bound) + ROUNDING) ** 2
+        if np.isinf(strictness):
+            return np.full(len(bound), np.inf)
+        return bound * (seen / d) * (1 + strictness / np.sqrt(seen)) ** 2 + ROUNDING**2
+
     while first < n:
-        rows = np.arange(first, min(n, first + step))
-        rows = rows[rows != skip]
-        first, step = first + step, min(LAST, 2 * step)
-        partial, seen = np.zeros(len(rows)), 0
-        for block, part in zip(blocks, turned, strict=True):
-            difference = block[rows] - part
+        last = min(n, first + step)
+        head, seen = np.zeros((len(queries), last - first), np.float32), 0
+        stays = np.ones(head.shape, bool)
+        own = np.flatnonzero((skip >= first) & (skip < last))
+        stays[own, skip[own] - first] = False
+        for part, block, x, y in zip(asked, blocks, *norms, strict=True):
+            head += x[:, None] + y[None, first:last] - 2 * (part @ block[first:last].T)
+            seen += block.shape[1]
+            # products round otherwise than differences do: what is near the limit is left to these
+            stays &= head <= ((np.sqrt(allowed(seen)) + ROUNDING) ** 2 + ROUNDING).astype(np.float32)[:, None]
+            if np.count_nonzero(stays) * FEW < stays.size:
+                break
+        who, rows = np.nonzero(stays)
+        rows = rows + first
+        first, step = last, min(LAST, 2 * step)
+        partial = np.zeros(len(rows), np.float64)
+        seen = 0
+        for block, part in zip(blocks, asked, strict=True):
+            difference = block[rows] - part[who]
             partial = partial + np.einsum("ij,ij->i", difference, difference)
             seen += block.shape[1]
-            if seen < d and np.isfinite(bound):
-                stays = partial * (d / seen) <= bound * (1 + strictness / np.sqrt(seen)) ** 2 + ROUNDING**2
-                rows, partial = rows[stays], partial[stays]
-        # equal distances stay, and so does what rounding might have moved
-        stays = partial <= (np.sqrt(bound) + ROUNDING) ** 2
-        rows, partial = rows[stays], partial[stays]
-        found.append(rows)
-        best = np.concatenate([best, partial])
-        if len(best) >= k:
-            best = np.partition(best, k - 1)[:k]
-            bound = best.max()
-    return np.concatenate(found)
+            stays = partial <= allowed(seen)[who]
+            who, rows, partial = who[stays], rows[stays], partial[stays]
+        found.append((who, rows))
+        # the k smallest of the pairs that are left, beside those known
+        order = np.lexsort((partial, who))
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        top = place < k
+        more = np.full((len(queries), k), np.inf)
+        more[who[top], place[top]] = partial[order][top]
+        best = np.partition(np.concatenate([best, more], axis=1), k - 1, axis=1)[:, :k]
+        bound = best.max(axis=1)
+    who, rows = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(who, kind="stable")
+    return np.split(rows[order], np.searchsorted(who[order], np.arange(1, len(queries))))
 
 
 def in_range(rows: np.ndarray) -> np.ndarray:
@@ -133,10 +170,11 @@ def _scan_cell(queries: pa.Table, rows: pa.Table, k: int, strictness: float) ->
         blocks = [np.ascontiguousarray(b) for b in np.split(normed(x).astype(np.float32) @ turn, list(cuts), axis=1)]
         asked = _matrix(queries.column("_vec"))
         turned = normed(asked).astype(np.float32) @ turn
-        for i, (query_at, query_id) in enumerate(zip(queries.column("_at").to_pylist(), queries.column("_id").to_pylist(), strict=True)):
-            own = np.searchsorted(at, query_at)
-            own = own if own < len(at) and at[own] == query_at else -1
-            left = scan(turned[i], blocks, np.split(turned[i], list(cuts)), k, own, strictness)
+        asked_at = queries.column("_at").to_numpy()
+        own = np.minimum(np.searchsorted(at, asked_at), len(at) - 1)
+        own = np.where(at[own] == asked_at, own, -1)
+        lefts = [x for i in range(0, len(asked), TOGETHER) for x in scan_all(turned[i : i + TOGETHER], blocks, k, own[i : i + TOGETHER], strictness)]
+        for i, (query_at, query_id, left) in enumerate(zip(asked_at.tolist(), queries.column("_id").to_pylist(), lefts, strict=True)):
             if len(left):
                 score = exact(asked[i], x[left])
                 top = np.lexsort((at[left], ids[left], -score))[:k]

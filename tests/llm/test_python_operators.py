@@ -299,3 +299,18 @@ def test_packing_reads_runs_of_millions(unit):
     for text in (unit * (1_000_000 // len(unit)), f"before {unit * (packing.LONG_RUN + 7)} after"):
         assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
     assert len(encode(" " * 5_000_000)) == 5_000_000
+
+
+@pytest.mark.parametrize("strictness", [vector_search.EPSILON, np.inf])
+def test_queries_scanned_together_find_what_each_finds_alone(strictness):
+    """Also where the k-th best distance is 0: the test multiplies it by an infinite margin."""
+    random = np.random.default_rng(4)
+    x = vector_search.normed(np.concatenate([random.standard_normal((900, 40)), np.repeat(random.standard_normal((20, 40)), 12, axis=0)]))
+    turned = (x @ vector_search.rotation(40)).astype(np.float32)
+    blocks = np.split(turned, [16, 32], axis=1)
+    asked = np.arange(0, len(x), 7)
+    for i, left in zip(asked, vector_search.scan_all(turned[asked], blocks, 5, asked, strictness), strict=True):
+        distance = ((turned.astype(float) - turned[i]) ** 2).sum(axis=1)
+        distance[i] = np.inf
+        fifth = np.sort(distance)[4]
+        assert i not in left and len(left) == len(set(left)) and set(np.flatnonzero(distance <= fifth)) <= set(left)
