@@ -488,20 +488,27 @@ def sca_strip_pictographs(t: StarTables) -> DataFrame:
 
 
 def sca_verdict_tier(t: StarTables) -> DataFrame:
-    """Tiers of all verdicts, and of the priorities written without a mark."""
-    plain = q05(t).select(fn.strip_pictographs(c("response_priority")).alias("verdict"))
+    """Tiers of all verdicts, and of the priorities written without a mark.
+
+    Verdicts are counted per investigation, which rids each of its final sort.
+    """
+    t = t.with_stored_transactions()
+
+    def counted(result: DataFrame, column: str) -> DataFrame:
+        return result.groupBy(c(column).alias("verdict")).agg(F.count("*").alias("n"))
+
+    priorities = counted(q05(t), "response_priority")
     sources = [
-        q01(t).select(c("control_efficiency_verdict").alias("verdict")),
-        q03(t).select(c("synthetic_id_verdict").alias("verdict")),
-        q04(t).select(c("aml_verdict").alias("verdict")),
-        q05(t).select(c("response_priority").alias("verdict")),
-        q06(t).select(c("cross_subsidy_verdict").alias("verdict")),
-        q07(t).select(c("sample_reliability").alias("verdict")),
-        q09(t).select(c("pre_crime_verdict").alias("verdict")),
-        q10(t).select(c("signal_strength_verdict").alias("verdict")),
-        plain,
+        counted(q01(t), "control_efficiency_verdict"),
+        counted(q03(t), "synthetic_id_verdict"),
+        counted(q04(t), "aml_verdict"),
+        priorities.select(F.explode(F.array("verdict", fn.strip_pictographs(c("verdict")))).alias("verdict"), "n"),
+        counted(q06(t), "cross_subsidy_verdict"),
+        counted(q07(t), "sample_reliability"),
+        counted(q09(t), "pre_crime_verdict"),
+        counted(q10(t), "signal_strength_verdict"),
     ]
-    verdicts = reduce(lambda a, b: a.unionByName(b), sources).groupBy("verdict").agg(F.count("*").alias("n"))
+    verdicts = reduce(lambda a, b: a.unionByName(b), sources).groupBy("verdict").agg(F.sum("n").alias("n"))
     return verdicts.withColumn("tier", fn.verdict_tier(c("verdict")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.plans.derived import account_totals, hourly_rollup, pattern_profile, pattern_stats
+from tamarack.session import stored
 
 
 def _padded(prefix: str, number: str, width: int) -> str:
@@ -77,6 +78,12 @@ class StarTables:
             )
         )
 
+    def with_stored_transactions(self) -> StarTables:
+        """The same tables, their transactions joined once and read back; for a query of many passes over them."""
+        again = StarTables(self.spark, self.folder)
+        again.transactions = stored(self.transactions, "transactions")
+        return again
+
     @cached_property
     def lines(self) -> DataFrame:
         """The two-part key of the line items."""

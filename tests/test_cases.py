@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamarack import fixed_values as fv
+from tamarack import registry
 from tamarack.plans import results
 from tamarack.plans.attack_window import attack_window
 from tamarack.plans.cross_subsidy import cross_subsidy, price_segments
@@ -356,3 +357,9 @@ def test_missing_scores_count_as_zero(spark):
     )
     (row,) = results.precision_kpis(identity).collect()
     assert (row.accounts, row.flagged, row.flagged_pct, row.precision_pct, row.avg_score) == (3, 2, 66.7, 50.0, 30.0)
+
+
+def test_the_verdict_query_joins_its_transactions_once(spark, small):
+    """Eight investigations read one stored table; none goes back to the line items, and only the top windows are sorted."""
+    plan = registry.queries()["sca_verdict_tier"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and plan.count("Sort [") == 1
