@@ -31,6 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ from tamarack.session import stored
 LEAST, LONGEST, RETURNED = 100, 5, 2_000
 #: Words counted in a task before stripes are sent; entries that a bucket has on average at most; bytes hashed at a time.
 FLUSH, BUCKET_ENTRIES, BLOCK = 2_000_000, 2_000_000, 1 << 20
+#: Texts of a batch that are copied at a time.
+ROWS = 256
 #: Blocks of next words into which each stripe is divided.
 BLOCKS = 64
 #: Languages whose texts a task gathers at the same time.
@@ -96,8 +99,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """Folded texts of one language, some at a time; a long text is cut at its breaks only."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist(), strict=True):
+    for part in (batch.slice(low, ROWS) for batch in batches for low in range(0, batch.num_rows, ROWS)):
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist(), strict=True):
             if not text:
                 continue
             text = text.translate(_FOLDED)
@@ -131,34 +134,51 @@ def _word_counts(seed: int):
     """Rows (lang, key, word, n) of a task's texts, summed over some blocks at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, found, seen = _Words(seed), {}, 0
+        hasher, held, seen = _Words(seed), [], 0
         for lang, block in _blocks(batches):
             start, end, keys, _ = hasher.of(block, lang)
+            if not len(keys):
+                continue
             values, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            for key, low, high, n in zip(values.tolist(), start[first].tolist(), end[first].tolist(), counts.tolist(), strict=True):
-                if (known := found.get((lang, key))) is None:
-                    known = found[lang, key] = [block[low:high], 0]
-                elif known[0] != block[low:high]:  # two words of one key: both go out, and are found there
-                    known = found[lang, key, block[low:high]] = [block[low:high], 0]
-                known[1] += n
+            held.append((lang, values, _slices(block, start[first], end[first]), counts))
             seen += len(keys)
             if seen >= FLUSH:
-                yield _word_rows(found)
-                found, seen = {}, 0
-        yield _word_rows(found)
+                yield _word_rows(held)
+                held, seen = [], 0
+        yield _word_rows(held)
 
     return count
 
 
-def _word_rows(found: dict) -> pa.RecordBatch:
-    keys, values = list(found), list(found.values())
+def _slices(block: bytes, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The given parts of a block, end to end in one buffer."""
+    sizes = end - start
+    ends = np.cumsum(sizes)
+    places = np.arange(ends[-1]) + np.repeat(start - (ends - sizes), sizes)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(block, np.uint8)[places])])
+
+
+def _word_rows(held: list[tuple[str, np.ndarray, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """Words of several blocks, summed. Different words of one key stay apart: they go out and are found there."""
+    names = ["lang", "key", "word", "n"]
+    if not held:
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.int64(), pa.string(), pa.int64())], names)
+    langs = sorted({lang for lang, *_ in held})
+    code = np.repeat([langs.index(lang) for lang, *_ in held], [len(keys) for _, keys, *_ in held]).astype(np.int32)
+    keys, counts = np.concatenate([x[1] for x in held]), np.concatenate([x[3] for x in held])
+    order = np.lexsort((keys, code))
+    code, keys, words = code[order], keys[order], pa.concat_arrays([x[2] for x in held]).take(pa.array(order))
+    new = np.ones(len(order), bool)
+    new[1:] = (code[1:] != code[:-1]) | (keys[1:] != keys[:-1]) | pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(new)
     columns = [
-        pa.array([k[0] for k in keys], pa.string()),
-        pa.array(np.array([k[1] for k in keys], np.uint64).view(np.int64)),
-        pa.array([v[0] for v in values], pa.binary()).cast(pa.string()),
-        pa.array([v[1] for v in values], pa.int64()),
+        pa.array(langs, pa.string()).take(pa.array(code[at])),
+        pa.array(keys[at].view(np.int64)),
+        words.take(pa.array(at)).cast(pa.string()),
+        pa.array(np.add.reduceat(counts[order], at).astype(np.int64)),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "key", "word", "n"])
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def _word_table(docs: DataFrame) -> tuple[DataFrame, int]:

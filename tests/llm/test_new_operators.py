@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -237,3 +238,18 @@ def test_documents_are_encoded_and_decoded(spark, tmp_path, library, small, whic
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id = 9").select("text")
     got = docs.select(bpe.id_list(bpe.token_ids(docs["text"])).alias("ids"), "text").first()
     assert got is None or got.ids == library.encode(got.text or "", add_special_tokens=False).ids
+
+
+def test_word_counts_of_a_task_hold_no_object_for_each_word():
+    """700,000 different words of 1.4 million: some 250 MB as Python objects, a few arrays otherwise."""
+    texts = [" ".join(f"w{i}" for i in range(low, low + 100_000)) + ("." if low % 200_000 else "") for low in range(0, 700_000, 100_000)]
+    langs = ["en", "en", "de", "de", "und", "und", "und"]  # the words of each language are its own
+    batch = pa.RecordBatch.from_arrays([pa.array(langs * 2), pa.array(texts * 2)], ["lang", "text"])
+    tracemalloc.start()
+    found = list(phrases._word_counts(0)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6
+    rows = [r for b in found for r in zip(*b.to_pydict().values(), strict=True)]
+    want = {(lang, word): 2 for lang, text in zip(langs, texts, strict=True) for word in text.rstrip(".").split()}
+    assert {(lang, word): n for lang, _, word, n in rows} == want and len(rows) == len(want)
