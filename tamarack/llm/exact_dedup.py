@@ -43,7 +43,9 @@ def _refined(docs: DataFrame, carry: Sequence[str] | None, id_column: str, text_
     shared = prefixes.join(lengths, "_length", "left_semi").filter("_n > 1")
     key = F.xxhash64("_length", "_prefix")
     open_rows = maybe_in(keyed, key, membership(shared, key), "_open").filter("_open")
-    probed = maybe_in(rows, F.xxhash64("_id"), membership(open_rows, F.xxhash64("_id")), "_open")
+    # stored, since the rows are probed twice: for the groups and for those alone
+    bits = stored(membership(open_rows, F.xxhash64("_id")), "dedup-bits")
+    probed = maybe_in(rows, F.xxhash64("_id"), bits, "_open")
 
     alone = probed.filter("NOT _open").select("_row", "_id")
     grouped = stored(

@@ -3,8 +3,8 @@
 Words and character n-grams (3 and 5 bytes, word edges included) are hashed to
 rows of an embedding matrix, and so is whether a word repeats the one before. A document is the mean of its rows; a softmax over
 two classes reads it. Both are learned by numpy stochastic gradient descent on
-at most ``SAMPLE_ROWS`` labelled documents, which is the bound of all that
-reaches the driver. Scoring needs only the dot product of each row with the
+at most ``SAMPLE_ROWS`` labelled documents, in one task; only the model, a number
+per hashed row, reaches the driver. Scoring needs only the dot product of each row with the
 difference of the two class vectors, so every text is scored whole by looking up
 one number per n-gram.
 
@@ -196,20 +196,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     # sample_rows bounds the broadcast, and again what comes of ids that repeat
     found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled"))
     found = found.orderBy(order, "doc_id", "_quality", F.xxhash64("text")).limit(sample_rows)
-    schema = "label int, buckets array<int>, counts array<int>"
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents = []
         for batch in batches:
             for text, label in zip(_bytes(batch.column("text")), batch.column("_quality").to_pylist(), strict=True):
                 buckets, counts = counted(text)
-                row = [pa.array([label], pa.int32()), *[pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (buckets, counts)]]
-                yield pa.RecordBatch.from_arrays(row, ["label", "buckets", "counts"])
-
-    rows = found.select("text", "_quality").mapInArrow(features, schema).toArrow()
-    columns = [rows.column(x).combine_chunks() for x in ("buckets", "counts")]
-    labels_found = rows.column("label").to_pylist()
-    training = [(columns[0][i].values.to_numpy(), columns[1][i].values.to_numpy(), label) for i, label in enumerate(labels_found)]
-    return train(training)
+                documents.append((buckets, counts.astype(np.int32), label))
+        model = train(documents)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+
+    # the sorted sample is one partition of at most sample_rows, so one task has it in its order
+    learnt = found.select("text", "_quality").coalesce(1).mapInArrow(learn, "weights binary, bias double").collect()
+    return Model(np.frombuffer(learnt[0]["weights"]), learnt[0]["bias"]) if learnt else train([])
 
 
 def quality_score(model: Model, text: Column) -> Column:

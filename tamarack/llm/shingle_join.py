@@ -480,7 +480,8 @@ def one_per_component(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     Rows that agree in id and text count as one.
     """
-    rows = near_duplicates(docs, id_column, text_column)
+    # stored, since the components are read three times
+    rows = stored(near_duplicates(docs, id_column, text_column), "shingle-rows")
     best = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))
     linked = rows.filter("n > 0").groupBy("_root").agg(best.alias("best")).select(F.col("best._row").alias("_row"))
     kept = stored(linked.union(rows.filter("n = 0").select("_row")).distinct(), "shingle-kept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from tamarack.llm import quality
+from tamarack.llm import exact_dedup, quality, shingle_join
 from tests.llm.frames import write_documents
 from tests.llm.test_jvm_operators import size_of, water_levels
 from tests.llm.test_shingle_join import brute
@@ -92,3 +93,35 @@ def test_empty_tables(spark, tmp_path):
     folder = write_documents(tmp_path, [])
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_the_classifier_learns_in_a_task(spark, tmp_path, monkeypatch):
+    """The driver gets the model, not the features of the sample."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality")
+    whole = quality.fit(docs, labels)
+    assert whole.weights.shape == (1 << quality.BITS,) and whole.weights.any()
+    monkeypatch.setattr(quality, "train", lambda documents: quality.Model(np.arange(4.0), float(os.getpid())))
+    model = quality.fit(docs, labels)
+    assert model.weights.tolist() == [0, 1, 2, 3] and model.bias != os.getpid()
+
+
+def test_the_driver_plans_shared_steps_once(spark, monkeypatch):
+    """What two queries of a stage read is stored: neither plan holds its membership bits or its join of components again."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, None)], "doc_id long, text string")
+    plans = {}
+
+    def spy(kept):
+        def stored(df, purpose):
+            plans[purpose] = df._jdf.queryExecution().optimizedPlan().toString()
+            return kept(df, purpose)
+
+        return stored
+
+    for module in (exact_dedup, shingle_join):
+        monkeypatch.setattr(module, "stored", spy(module.stored))
+    unique = exact_dedup.exact_unique(docs)
+    assert "bit_or" not in plans["dedup-rows"] and "bit_or" not in unique._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["doc_id"] for r in unique.collect()) == [1, 3, 4]
+    assert sorted(r["doc_id"] for r in shingle_join.one_per_component(docs).collect()) == [1, 2, 3, 4]
+    assert "Join" not in plans["shingle-kept"]
