@@ -42,3 +42,8 @@ def equals_all(df: DataFrame, wanted: Mapping[str, object]) -> DataFrame:
         if value not in (None, "", fv.NO_COLUMN_FILTER):
             df = df.filter(F.col(column).cast("string") == str(value))
     return df
+
+
+def share_of(key: str, shares: int) -> Column:
+    """Number, from 0, of the share that a row belongs to: by a hash of the key, so that equal keys, NULL too, stay together."""
+    return F.pmod(F.xxhash64(key), F.lit(shares)).cast("int")

@@ -14,11 +14,11 @@ from tamarack.operators.totals import share_of_total
 def account_totals(transactions: DataFrame) -> DataFrame:
     """Counts and exact sums per account, one row each.
 
-    One pass: rows are summed per account, country and category first, so an
-    account of any size is a few rows per task, and the distinct values are
-    gathered from those.
+    One pass: each task passes on a row per account with its sums and its
+    distinct values, so an account of any size is a row per task, and nothing
+    is shuffled twice.
     """
-    parts = transactions.groupBy("account_id", "merchant_country", "merchant_category").agg(
+    return transactions.groupBy("account_id").agg(
         F.count("*").alias("n"),
         F.sum("amount").alias("amt"),
         F.max("amount").alias("mx"),
@@ -27,11 +27,6 @@ def account_totals(transactions: DataFrame) -> DataFrame:
         F.count_if("is_foreign_txn").alias("nfor"),
         F.sum("velocity_1h").alias("vel"),
         F.sum("ip_risk_score").alias("ip"),
-    )
-    sums = [F.sum(x).cast(parts.schema[x].dataType).alias(x) for x in ("n", "amt", "nf", "amtf", "nfor", "vel", "ip")]
-    return parts.groupBy("account_id").agg(
-        *sums,
-        F.max("mx").alias("mx"),
         F.size(F.collect_set("merchant_country")).cast("bigint").alias("nc"),
         F.size(F.collect_set("merchant_category")).cast("bigint").alias("ncat"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,7 +39,7 @@ from tamarack.plans.response_lag import lag_cost, response_lag
 from tamarack.plans.ring_contagion import contagion_speed, ring_contagion
 from tamarack.plans.synthetic_identity import cohort_stats, identity_metrics, scored_identities, synthetic_identity
 from tamarack.plans.yoy_evolution import yearly_metrics, yoy_changes, yoy_evolution
-from tamarack.session import shared_folder
+from tamarack.session import shared_folder, stored_in_turn
 from tamarack.sources import files, schemas
 from tamarack.sources.star import StarTables
 
@@ -490,22 +490,27 @@ def sca_strip_pictographs(t: StarTables) -> DataFrame:
 def sca_verdict_tier(t: StarTables) -> DataFrame:
     """Tiers of all verdicts, and of the priorities written without a mark.
 
-    Verdicts are counted per investigation, which rids each of its final sort.
+    Verdicts are counted per investigation, which rids each of its final sort. The two that shuffle most are counted
+    before the others, the drift of one share of the accounts after another, so that little of it is on disk at once.
     """
     t = t.with_stored_transactions()
 
     def counted(result: DataFrame, column: str) -> DataFrame:
         return result.groupBy(c(column).alias("verdict")).agg(F.count("*").alias("n"))
 
+    def first() -> Iterator[DataFrame]:
+        yield counted(q03(t), "synthetic_id_verdict")
+        for part in t.shares_of_accounts():
+            yield counted(q09(part), "pre_crime_verdict")
+
     priorities = counted(q05(t), "response_priority")
     sources = [
+        stored_in_turn(first(), "verdicts"),
         counted(q01(t), "control_efficiency_verdict"),
-        counted(q03(t), "synthetic_id_verdict"),
         counted(q04(t), "aml_verdict"),
         priorities.select(F.explode(F.array("verdict", fn.strip_pictographs(c("verdict")))).alias("verdict"), "n"),
         counted(q06(t), "cross_subsidy_verdict"),
         counted(q07(t), "sample_reliability"),
-        counted(q09(t), "pre_crime_verdict"),
         counted(q10(t), "signal_strength_verdict"),
     ]
     verdicts = reduce(lambda a, b: a.unionByName(b), sources).groupBy("verdict").agg(F.sum("n").alias("n"))

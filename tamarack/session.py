@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def build_session(app_name: str = "tamarack", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,11 +63,29 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     executors cost nothing but a re-read, and the shuffles behind it are removed
     at once.
     """
-    spark = df.sparkSession
-    path, before = f"{shared_folder(spark, purpose)}/rows", spark.conf.get(CLEANUP_CONF)
-    spark.conf.set(CLEANUP_CONF, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP_CONF, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_in_turn([df], purpose)
+
+
+def stored_in_turn(parts: Iterable[DataFrame], purpose: str, dealt_by: str | None = None, **options: str) -> DataFrame:
+    """The rows of all ``parts``, at least one, read back from one table to which they are written one after another.
+
+    For a result too large to be made in one go: the shuffles of a part are
+    removed before the next part starts. ``dealt_by`` names a column of few
+    values that get a folder each; ``options`` go to the writer.
+    """
+    path = None
+    for df in parts:
+        spark = df.sparkSession
+        path, schema = path or f"{shared_folder(spark, purpose)}/rows", df.schema
+        # without writers at once, a task would sort its rows by folder
+        conf = {CLEANUP_CONF: "true", **({WRITERS_CONF: "64"} if dealt_by else {})}
+        before = {key: spark.conf.get(key) for key in conf}
+        rows = df.write.mode("append").options(**options)
+        try:
+            for key, value in conf.items():
+                spark.conf.set(key, value)
+            (rows.partitionBy(dealt_by) if dealt_by else rows).parquet(path)
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
+    return spark.read.schema(schema).parquet(path)

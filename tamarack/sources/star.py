@@ -7,13 +7,18 @@ can derive the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.operators.filters import share_of
 from tamarack.plans.derived import account_totals, hourly_rollup, pattern_profile, pattern_stats
-from tamarack.session import stored
+from tamarack.session import stored_in_turn
+
+#: parts in which large intermediate results are made, one after another
+SHARES = 4
 
 
 def _padded(prefix: str, number: str, width: int) -> str:
@@ -29,6 +34,34 @@ def _rounded_ratio(part: str, whole: str, digits: int) -> str:
 _FRAUD = "k % 29 < CASE WHEN s < 21600 THEN 3 ELSE 1 END"
 
 
+def _derived(lines: DataFrame) -> DataFrame:
+    return lines.selectExpr(
+        "*",
+        "(l_orderkey*31 + l_partkey*17 + l_linenumber*7919) % 86400 AS s",
+        "l_orderkey*131 + l_partkey*71 + l_suppkey*13 + l_linenumber AS k",
+    ).selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS transaction_id",
+        f"{_padded('ACC', 'o_custkey', 7)} AS account_id",
+        "l_shipdate + s * INTERVAL '1' SECOND AS ts",
+        "CAST((s - s % 3600) / 3600 AS INT) AS hour_of_day",
+        "weekday(l_shipdate) AS day_of_week",
+        "weekday(l_shipdate) >= 5 AS is_weekend",
+        "CAST(l_extendedprice AS DECIMAL(12,2)) AS amount",
+        "p_type AS merchant_category",
+        "CAST(l_suppkey % 25 AS STRING) AS merchant_country",
+        "k % 4 <> 0 AS card_present",
+        "l_returnflag AS device_type",
+        "k % 7 < 4 AS device_known",
+        "CAST(((k * 37) % 1000) / 10.0 AS DECIMAL(6,2)) AS ip_risk_score",
+        "k % 3 = 0 AS is_foreign_txn",
+        "CAST(k % 11 AS INT) AS velocity_1h",
+        "CAST(l_quantity / 10 AS DECIMAL(10,4)) AS amount_vs_avg_ratio",
+        "k % 5 < 3 AS has_2fa",
+        f"{_FRAUD} AS is_fraud",
+        f"CASE WHEN {_FRAUD} THEN 'pattern_' || (l_partkey % 7) END AS fraud_pattern",
+    )
+
+
 class StarTables:
     """Fraud tables over the parquet files of one folder. Nothing is read before it is used."""
 
@@ -44,46 +77,47 @@ class StarTables:
 
     @cached_property
     def transactions(self) -> DataFrame:
-        lines = self._read("lineitem").selectExpr(
-            "*",
-            "(l_orderkey*31 + l_partkey*17 + l_linenumber*7919) % 86400 AS s",
-            "l_orderkey*131 + l_partkey*71 + l_suppkey*13 + l_linenumber AS k",
-        )
+        return _derived(self._joined_lines())
+
+    def _joined_lines(self, share: int = 0, shares: int = 1) -> DataFrame:
+        """The line items with their order's customer and their part's type; of one share of the orders."""
+        lines = self._read("lineitem")
         # both are fact tables: they meet by a shuffle at every size
         orders = self._read("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey").hint("merge")
         parts = self._read("part").selectExpr("p_partkey AS l_partkey", "p_type")
-        return (
-            lines.join(orders, "l_orderkey")
-            .join(parts, "l_partkey")
-            .selectExpr(
-                "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS transaction_id",
-                f"{_padded('ACC', 'o_custkey', 7)} AS account_id",
-                "l_shipdate + s * INTERVAL '1' SECOND AS ts",
-                "CAST((s - s % 3600) / 3600 AS INT) AS hour_of_day",
-                "weekday(l_shipdate) AS day_of_week",
-                "weekday(l_shipdate) >= 5 AS is_weekend",
-                "CAST(l_extendedprice AS DECIMAL(12,2)) AS amount",
-                "p_type AS merchant_category",
-                "CAST(l_suppkey % 25 AS STRING) AS merchant_country",
-                "k % 4 <> 0 AS card_present",
-                "l_returnflag AS device_type",
-                "k % 7 < 4 AS device_known",
-                "CAST(((k * 37) % 1000) / 10.0 AS DECIMAL(6,2)) AS ip_risk_score",
-                "k % 3 = 0 AS is_foreign_txn",
-                "CAST(k % 11 AS INT) AS velocity_1h",
-                "CAST(l_quantity / 10 AS DECIMAL(10,4)) AS amount_vs_avg_ratio",
-                "k % 5 < 3 AS has_2fa",
-                f"{_FRAUD} AS is_fraud",
-                f"CASE WHEN {_FRAUD} THEN 'pattern_' || (l_partkey % 7) END AS fraud_pattern",
-            )
-        )
+        if shares > 1:
+            lines, orders = (x.filter(share_of("l_orderkey", shares) == share) for x in (lines, orders))
+        return lines.join(orders, "l_orderkey").join(parts, "l_partkey")
+
+    @cached_property
+    def _dealt(self) -> DataFrame:
+        """The transactions with their account's share."""
+        return self.transactions.withColumn("_share", share_of("account_id", SHARES))
 
     def with_stored_transactions(self) -> StarTables:
-        """The same tables, their transactions joined once and read back; for a query of many passes over them."""
+        """The same tables, their transactions joined once and read back; for a query of many passes over them.
+
+        One share of the orders is joined at a time, which bounds the disk that the shuffles take. The rows of an
+        account lie together, a very large one in several files: a task that sums per account has a row of each to pass on.
+        """
+
+        def joined(share: int) -> DataFrame:
+            part = StarTables(self.spark, self.folder)
+            part.transactions = _derived(self._joined_lines(share, SHARES).hint("rebalance", "o_custkey"))
+            return part._dealt
+
         again = StarTables(self.spark, self.folder)
-        again.transactions = stored(self.transactions, "transactions")
+        again._dealt = stored_in_turn(map(joined, range(SHARES)), "transactions", "_share", compression="zstd")
+        again.transactions = again._dealt.drop("_share")
         return again
 
+    def shares_of_accounts(self) -> Iterator[StarTables]:
+        """The transactions in parts, those of an account together, to be worked through one at a time."""
+        for i in range(SHARES):
+            part = StarTables(self.spark, self.folder)
+            part.transactions = self._dealt.filter(F.col("_share") == i).drop("_share")
+            yield part
+
     @cached_property
     def lines(self) -> DataFrame:
         """The two-part key of the line items."""

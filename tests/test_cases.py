@@ -1,10 +1,14 @@
 """The investigations on hand-made tables that sit on their boundaries."""
 
+import datetime as dt
+import time
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tamarack import fixed_values as fv
-from tamarack import registry
+from tamarack import registry, session
 from tamarack.plans import results
 from tamarack.plans.attack_window import attack_window
 from tamarack.plans.cross_subsidy import cross_subsidy, price_segments
@@ -17,6 +21,7 @@ from tamarack.plans.response_lag import response_lag
 from tamarack.plans.ring_contagion import ring_contagion
 from tamarack.plans.synthetic_identity import synthetic_identity
 from tamarack.plans.yoy_evolution import summarise_evolution, yoy_evolution
+from tamarack.sources.star import SHARES, StarTables
 from tests import frames
 
 
@@ -363,3 +368,58 @@ def test_the_verdict_query_joins_its_transactions_once(spark, small):
     """Eight investigations read one stored table; none goes back to the line items, and only the top windows are sorted."""
     plan = registry.queries()["sca_verdict_tier"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and plan.count("Sort [") == 1
+
+
+def test_the_verdict_query_counts_what_shuffles_most_beforehand(spark, small):
+    """Identities and drift are counted before the query runs; their shuffles are gone by then."""
+    plan = registry.queries()["sca_verdict_tier"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "first_fraud_ts" not in plan and "synthetic_id" not in plan
+
+
+def test_stored_transactions_hold_every_row_in_one_share(spark, tmp_path):
+    """Keys that are NULL or come twice, on either side of the joins; an order without customer is a share's as well."""
+    at = dt.datetime(1996, 3, 2)
+    lines = [(o, 1 + o % 3, o % 5, n, 7.0, 10.5, "A", at) for o in range(60) for n in (1, 2)]
+    lines += [lines[0], lines[0], (None, 1, 1, 1, 1.0, 1.0, "N", at), (3, None, 1, 1, 1.0, 1.0, "N", at)]
+    lines += [(4, 1, None, None, None, None, None, None), (99, 1, 1, 1, 1.0, 1.0, "N", at)]
+    orders = [(o, o % 7 if o % 11 else None) for o in range(60)] + [(5, 2), (5, 3), (None, 1)]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+                            " l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz"),
+        "orders": (orders, "o_orderkey long, o_custkey long"),
+        "part": ([(1, "a"), (2, "b"), (2, "c"), (3, None), (None, "d")], "p_partkey long, p_type string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    plain = StarTables(spark, str(tmp_path))
+    kept = plain.with_stored_transactions()
+    wanted = Counter(plain.transactions.collect())
+    assert sum(wanted.values()) > len(lines) and Counter(kept.transactions.collect()) == wanted
+    for tables in (plain, kept):
+        shares = [Counter(x.transactions.collect()) for x in tables.shares_of_accounts()]
+        assert len(shares) == SHARES and sum(shares, Counter()) == wanted
+        accounts = [{r.account_id for r in x} for x in shares]
+        assert sum(map(len, accounts)) == len(set().union(*accounts)) and None in set().union(*accounts)
+
+
+def test_parts_stored_in_turn_leave_no_shuffle(spark):
+    """Each part's shuffle is removed before the next part is asked for; the settings are as before."""
+    before = {key: spark.conf.get(key) for key in (session.CLEANUP_CONF, session.WRITERS_CONF)}
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for name in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    first = shuffles()
+
+    def parts():
+        for i in range(3):
+            until = time.time() + 10  # files are removed in the background
+            while shuffles() - first and time.time() < until:
+                time.sleep(0.1)
+            assert not shuffles() - first
+            yield spark.range(1000).selectExpr("id % 7 AS k", f"{i} AS part").groupBy("k", "part").count()
+
+    found = session.stored_in_turn(parts(), "turns", "part", compression="zstd")
+    assert before == {key: spark.conf.get(key) for key in before}
+    assert [tuple(r) for r in found.groupBy("part").agg(F.sum("count")).orderBy("part").collect()] == [(i, 1000) for i in range(3)]

@@ -103,6 +103,12 @@ def test_scans_of_the_transactions(spark, lake, build, scans):
     assert "ResultQueryStage" in plan and len(re.findall("FileScan parquet", plan)) <= scans
 
 
+def test_account_totals_shuffle_once(spark, lake):
+    """The distinct values travel with the sums; what one shuffle has dealt is not dealt again."""
+    plan = account_totals(spark.read.parquet(lake))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_medians_read_their_input_once(spark, lake):
     plan = executed_plan(exact_median(spark.read.parquet(lake), ["fraud_pattern"], "amount", "median"))
     assert len(re.findall("FileScan parquet", plan)) == 1 and "ReusedExchange" in plan
